@@ -12,12 +12,13 @@ import math
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import LOWER, UPPER, col, id_crc_mod, materialize
+from cinderlake.llm.common import col, id_crc_mod, materialize
 
 MARK = "▁"
 #: The most frequent words, by count and then by word, whose figures every task holds: a fixed bound. All other words
@@ -29,13 +30,14 @@ DISCOUNT = 0.75
 LN10 = math.log(10)
 #: Distinct words that a task counts before it hands them on.
 FLUSH_WORDS = 300_000
-GAP = str.maketrans("\t\n\x0b\x0c\r", "     ")
-FOLD = str.maketrans(UPPER, LOWER)
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Cells of the lattice that are worked out at once.
+CELLS = 4_000_000
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str | None) -> list[bytes]:
     """Words of a text: A-Z in lower case, cut at blank, tab, line feed, vertical tab, form feed, carriage return."""
-    return [w for w in text.translate(GAP).translate(FOLD).split(" ") if w]
+    return (text or "").encode().translate(LOWER).split()
 
 
 @lru_cache(maxsize=2)
@@ -56,64 +58,125 @@ def vocabulary(path: str) -> tuple[list[str], list[float]]:
 
 
 class Lattice:
-    """Log probabilities of pieces; byte pieces spell characters that no piece has."""
+    """Log probabilities of pieces, looked up for all substrings of many words of equal length at once.
+
+    Byte pieces spell characters that no piece has."""
+
+    STEP = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, pieces: list[str], log_p: list[float]):
-        n = len(pieces)
-        self.piece = {p: (i, log_p[i]) for i, p in enumerate(pieces)}
-        self.bytes = [(n + b, log_p[n + b]) for b in range(256)]
-        self.longest = max(map(len, pieces))
-
-    def edges(self, text: str) -> list[list[tuple]]:
-        """For each end from 1: (start, log p, piece id or ids) of every piece that ends there."""
-        piece, longest, out = self.piece, self.longest, []
-        for j in range(1, len(text) + 1):
-            here = []
-            for i in range(max(0, j - longest), j):
-                if (found := piece.get(text[i:j])) is not None:
-                    here.append((i, found[1], found[0]))
-            if text[j - 1] not in piece:
-                spelt = [self.bytes[b] for b in text[j - 1].encode()]
-                here.append((j - 1, sum(x[1] for x in spelt), tuple(x[0] for x in spelt)))
-            out.append(here)
+        self.n, self.longest = len(pieces), max(map(len, pieces))
+        self.log_p = np.asarray(log_p)
+        keys = np.array([self._hash(p) for p in pieces], dtype=np.uint64)
+        self.size = 1 << 20
+        self.slot_key, self.slot_id = np.zeros(self.size, dtype=np.uint64), np.full(self.size, -1, dtype=np.int32)
+        left, self.probes = np.arange(self.n), 0
+        while len(left):  # open addressing, all keys of a round at once
+            place = self._place(keys[left], self.probes)
+            free = np.flatnonzero(self.slot_id[place] < 0)
+            _, first = np.unique(place[free], return_index=True)
+            take = free[first]
+            self.slot_key[place[take]], self.slot_id[place[take]] = keys[left[take]], left[take]
+            left, self.probes = np.delete(left, take), self.probes + 1
+
+    def _hash(self, piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(self.STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    def _place(self, h: np.ndarray, probe: int) -> np.ndarray:
+        return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64) + probe) & (self.size - 1)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        place = self._place(h, 0)
+        out = np.where(self.slot_key[place] == h, self.slot_id[place], -1)
+        left = np.nonzero((out < 0) & (self.slot_id[place] >= 0))
+        for probe in range(1, self.probes):
+            if not len(left[0]):
+                break
+            place = self._place(h[left], probe)
+            same = (self.slot_key[place] == h[left]) & (self.slot_id[place] >= 0)
+            out[left] = np.where(same, self.slot_id[place], -1)
+            left = tuple(x[~same & (self.slot_id[place] >= 0)] for x in left)
+        return out
+
+    def edges(self, codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length from 1: piece ids (or -1) and log probabilities of the substrings from each start."""
+        out, h, n = [], np.zeros(codes.shape, dtype=np.uint64), codes.shape[1]
+        for size in range(1, min(self.longest, n) + 1):
+            h = h[:, : n - size + 1] * self.STEP + codes[:, size - 1 :] + np.uint64(1)
+            ids = self._find(h)
+            lp = np.where(ids >= 0, self.log_p[ids], -np.inf)
+            if size == 1 and (ids < 0).any():
+                for c in np.unique(codes[ids < 0]).tolist():
+                    lp[codes == c] = sum(self.log_p[self.n + b] for b in chr(c).encode())
+            out.append((ids, lp))
         return out
 
     @staticmethod
-    def forward(edges: list[list[tuple]]) -> list[float]:
-        """alpha[j]: log probability that pieces spell the first j characters, over all segmentations."""
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for here in edges:
-            if len(here) == 1:
-                alpha.append(alpha[here[0][0]] + here[0][1])
-            else:
-                terms = [alpha[e[0]] + e[1] for e in here]
-                top = max(terms)
-                alpha.append(top + log(sum([exp(t - top) for t in terms])))
+    def total(terms: list[np.ndarray]) -> np.ndarray:
+        """log of summed exponentials, term by term."""
+        t = np.stack(terms)
+        top = t.max(axis=0)
+        return top + np.log(np.exp(t - top).sum(axis=0))
+
+    def forward(self, edges: list, n: int) -> np.ndarray:
+        """alpha[:, j]: log probability that pieces spell the first j characters, over all segmentations."""
+        alpha = np.zeros((len(edges[0][0]), n + 1))
+        for j in range(1, n + 1):
+            alpha[:, j] = self.total([alpha[:, j - k] + edges[k - 1][1][:, j - k] for k in range(1, min(len(edges), j) + 1)])
         return alpha
 
-    def score(self, word: str) -> float:
-        """log10 of a word's probability over all its segmentations."""
-        return self.forward(self.edges(MARK + word))[-1] / LN10
-
-    def expect(self, word: str, into: dict[int, float]) -> None:
-        """Add the expected uses of each piece in a word."""
-        exp, log = math.exp, math.log
-        edges = self.edges(MARK + word)
-        alpha, n = self.forward(edges), len(edges)
-        total = alpha[-1]
-        back: list[list[float]] = [[] for _ in range(n + 1)]
-        back[n].append(0.0)
-        for j in range(n, 0, -1):
-            if not (terms := back[j]):
-                continue
-            top = max(terms)
-            beta = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
-            for i, lp, ids in edges[j - 1]:
-                back[i].append(lp + beta)
-                use = exp(alpha[i] + lp + beta - total)
-                for k in (ids,) if isinstance(ids, int) else ids:
-                    into[k] = into.get(k, 0.0) + use
+    def _blocks(self, words: list[str]):
+        """Indices and codes of words of equal length, in blocks of bounded size; each word gets its mark."""
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for n, at in by_length.items():
+            step = max(1, CELLS // ((n + 1) * self.longest))
+            for k in range(0, len(at), step):
+                part = at[k : k + step]
+                text = "".join([MARK + words[i] for i in part])
+                yield part, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n + 1).astype(np.uint64)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """log10 of each word's probability over all its segmentations."""
+        out = np.zeros(len(words))
+        for at, codes in self._blocks(words):
+            out[at] = self.forward(self.edges(codes), codes.shape[1])[:, -1] / LN10
+        return out
+
+    def expect(self, words: list[str]) -> np.ndarray:
+        """Expected uses of each piece in the words, each taken once."""
+        uses = np.zeros(self.n + 256)
+        for _, codes in self._blocks(words):
+            edges, n = self.edges(codes), codes.shape[1]
+            alpha = self.forward(edges, n)
+            beta = np.zeros((len(codes), n + 1))
+            for i in range(n - 1, -1, -1):
+                beta[:, i] = self.total([edges[k - 1][1][:, i] + beta[:, i + k] for k in range(1, min(len(edges), n - i) + 1)])
+            for k, (ids, lp) in enumerate(edges, 1):
+                use = np.exp(alpha[:, : n - k + 1] + lp + beta[:, k:] - alpha[:, -1:])
+                known = ids >= 0
+                uses += np.bincount(ids[known], weights=use[known], minlength=self.n + 256)
+                if k == 1:
+                    for c in np.unique(codes[~known]).tolist():
+                        for b in chr(c).encode():
+                            uses[self.n + b] += use[codes == c].sum()
+        return uses
+
+
+def in_portions(batches, rows: int = 50_000):
+    """Columns of Arrow batches, joined to portions of about so many rows."""
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def count_words(docs: DataFrame, modulus: int, held: int) -> DataFrame:
@@ -124,13 +187,13 @@ def count_words(docs: DataFrame, modulus: int, held: int) -> DataFrame:
 
         def flush():
             keys = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([train[k] for k in keys], pa.int64()), pa.array([all_[k] for k in keys], pa.int64())], names=["word", "c", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys], pa.string()), pa.array([train[k] for k in keys], pa.int64()), pa.array([all_[k] for k in keys], pa.int64())], names=["word", "c", "seen"])
             all_.clear()
             train.clear()
 
         for batch in batches:
             for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = Counter(words_of(text or ""))
+                found = Counter(words_of(text))
                 all_.update(found)
                 if not held_out:
                     train.update(found)
@@ -158,11 +221,10 @@ def fit(counts: DataFrame, path: str, rounds: int = EM_ROUNDS) -> list[float]:
         shared = counts.sparkSession.sparkContext.broadcast(log_p)
 
         def expect(batches, shared=shared):
-            lattice, into = Lattice(vocabulary(path)[0], shared.value), {}
-            for batch in batches:
-                for word in batch.column(0).to_pylist():
-                    lattice.expect(word, into)
-            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int64()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
+            lattice = Lattice(vocabulary(path)[0], shared.value)
+            uses = sum((lattice.expect(t.column(0).to_pylist()) for t in in_portions(batches)), np.zeros(n + 256))
+            at = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses[at])], names=["piece", "n"])
 
         rows = counts.where("c > 0").select("word").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         used = {x["piece"]: x["n"] for x in rows}
@@ -195,13 +257,13 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
 
     def weigh(batches):
         lattice = Lattice(vocabulary(path)[0], shared.value)
-        for batch in batches:
-            found = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([mixed(c, lattice.score(w)) for w, c in zip(found, batch.column(1).to_pylist())], pa.float64())], names=["word", "c", "seen", "lp"])
+        for t in in_portions(batches):
+            found = lattice.scores(t.column(0).to_pylist()).tolist()
+            yield from t.append_column("lp", pa.array([mixed(c, x) for x, c in zip(found, t.column(1).to_pylist())], pa.float64())).to_batches()
 
     weighed = materialize(counts.mapInArrow(weigh, "word string, c long, seen long, lp double"), "weights")
     common = weighed.orderBy(F.desc("seen"), "word").limit(COMMON_WORDS)
-    top = {r["word"]: (r["c"] > 0, base(r["c"]), r["lp"]) for r in common.select("word", "c", "lp").collect()}
+    top = {r["word"].encode(): (r["c"] > 0, base(r["c"]), r["lp"]) for r in common.select("word", "c", "lp").collect()}
     held_top = docs.sparkSession.sparkContext.broadcast(top)
     end_known, end_base = n_docs > 0, base(n_docs)
     end_lp = math.log10(n_docs / tokens) if n_docs else 0.0
@@ -211,7 +273,7 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
         for batch in batches:
             docs_, tails = [], []
             for doc_id, held_out, text in zip(*[c.to_pylist() for c in batch.columns]):
-                found = Counter(words_of(text or ""))
+                found = Counter(words_of(text))
                 n, known, b, lp = 1, int(end_known), end_base, end_lp
                 for w, k in found.items():
                     n += k
@@ -220,7 +282,7 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
                         b += k * t[1]
                         lp += k * t[2]
                     else:
-                        tails.append((at, None, k, w, None, None, None))
+                        tails.append((at, None, k, w.decode(), None, None, None))
                 docs_.append((at, held_out, n, None, known, b, lp, doc_id))
                 at += 1
             out = [(r[0], r[7], r[1], r[2], None, r[4], r[5], r[6]) for r in docs_] + [(t[0], None, None, t[2], t[3], None, None, None) for t in tails]
