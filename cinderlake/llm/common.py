@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from cinderlake.operators.graph import connected_components
+from cinderlake.plans.stored import materialize, shared_dir
+
+__all__ = ["WORD", "WORD_GAP", "col", "connected_components", "id_crc_mod", "materialize", "shared_dir", "small_batches", "words"]
+
 #: Separators between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows in an Arrow batch; whole texts may be long, so batches are short.
 ARROW_ROWS = "1000"
 
@@ -34,52 +35,3 @@ def words(text: Column) -> Column:
 def id_crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only a local session without that setting gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="cinderlake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    Cuts the lineage, survives lost executors and lets several later steps read one result."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is its smallest reachable node.
-
-    Alternates the large-star and small-star steps. A node's minimum comes from a partial aggregate that is
-    joined back, so a hub's edges never meet in one task. Null ends and loops are ignored; repeated edges are
-    harmless; an empty input gives an empty result."""
-    pairs = edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-    nodes = pairs = materialize(pairs, "edges")
-    before = None
-    for _ in range(max_rounds):
-        both = pairs.union(pairs.selectExpr("b a", "a b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = materialize(star.select("e.a", "e.b").where("a <> b").distinct(), "stars")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    ids = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return ids.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
