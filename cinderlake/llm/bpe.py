@@ -135,7 +135,7 @@ class TrieEncoder:
             if (ids := self.old.get(w)) is not None:
                 self.cache[w] = ids
                 continue
-            split[w] = [w] if w.isascii() and w.isalpha() else [p if p.isascii() else "".join([self.symbols[b] for b in p.encode()]) for p in SPLIT.findall(w)]
+            split[w] = [w] if w.isascii() and w.isalpha() else [p if p.isascii() and p.isprintable() else "".join([self.symbols[b] for b in p.encode()]) for p in SPLIT.findall(w)]
         parts = self.parts
         parts.update(self.encode_words({p for found in split.values() for p in found if p not in parts}))
         for w, found in split.items():

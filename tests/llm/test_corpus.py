@@ -1,0 +1,305 @@
+"""Corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cinderlake.llm import bpe, embed_dedup, jaccard, langid, lm, packing, quality, repeats, secrets, sharding
+
+tokenizers = pytest.importorskip("tokenizers")
+P = pytest.importorskip("public_tokenizers")
+GAP = re.compile("[\t-\r ]+")
+SCHEMA = "doc_id long, text string, lang string, shard string, record string, key string"
+
+
+def texts():
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choices("abcdeé", k=rnd.randint(1, 7))) for _ in range(300)]
+    say = lambda n: " ".join(rnd.choices(vocab, k=n))
+    base = say(90)
+    out = [None, "", " \n\t ", "a", base, base, base.upper(), base + " tail words here", say(4000), "x" * 500, "Der " * 120, "''s  we'll Σας İ 12 <|endoftext|> \x1c\r\n ok!"]
+    for i in range(12):
+        w = base.split()
+        w[(7 * i) % 90] = f"new{i}"
+        out.append(" ".join(w))
+    out += ["p" + str(i) + " " + base[:260] + " q" + str(i) for i in range(3)]
+    out += [" ".join(f"w{j}" for j in range(k) if j != i) for k in (6, 9, 13, 17, 22) for i in range(k, k + 1)]
+    out += [" ".join(f"w{j}" for j in range(k)) for k in (7, 10, 14, 18, 23)]
+    out += [f'password = "hunter{i}22" AKIA{"A1" * 9} ' + "0a" * 14 + " token: ab" for i in range(2)] + ["é token=\U0001f600 secret='abcdefgh' " + "f" * 23]
+    return out
+
+
+def table(spark):
+    return [(i, t, "en" if i % 2 else None, "s", "r", None) for i, t in enumerate(texts())]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(table(spark), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def text_of():
+    return dict(enumerate(texts()))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(None, "same text of some words"), (None, "same text of some words"), (3, None), (3, None), (4, "")], "doc_id long, text string")
+
+
+def words(t):
+    return [w for w in GAP.split(t or "") if w]
+
+
+def test_sharding(docs, empty, odd, text_of):
+    rows = sharding.external_shuffle(docs, 5, bucket_bytes=2000).select("record.doc_id", "record.shard", F.col("shard").alias("s"), "slot").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text_of) and {r["shard"] for r in rows} == {"s"}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.s].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert sharding.external_shuffle(empty, 5).count() == 0 and sharding.external_shuffle(odd, 2).count() == 5
+
+
+def test_language(docs, empty, odd, spark):
+    rnd = random.Random(2)
+    made = [(i, " ".join("".join(rnd.choices("abcd" if i % 2 else "wxyz", k=5)) for _ in range(30)), "one" if i % 2 else "two") for i in range(80)]
+    model = langid.train(spark.createDataFrame(made, "doc_id long, text string, lang string"))
+    fresh = spark.createDataFrame([(i, t[::-1]) for i, t, _ in made], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(fresh, model).collect()}
+    assert all(got[i].lang_pred == g and 0 <= got[i].score <= 1 for i, _, g in made)
+    # Exact code lengths by the definition, byte by byte.
+    seen = collections.Counter()
+    for _, t, g in made:
+        b = b"\0" * langid.ORDER + t.encode()
+        for i in range(langid.ORDER, len(b)):
+            for k in range(langid.ORDER + 1):
+                seen[g, b[i - k : i], b[i]] += 1
+    after = collections.defaultdict(dict)
+    for (g, ctx, c), n in seen.items():
+        after[g, ctx][c] = n
+
+    def bits(g, b):
+        total, b = 0.0, b"\0" * langid.ORDER + b
+        for i in range(langid.ORDER, len(b)):
+            for k in range(langid.ORDER, -1, -1):
+                if not (known := after.get((g, b[i - k : i]))):
+                    continue
+                n, d = sum(known.values()), len(known)
+                if b[i] in known:
+                    total -= math.log2(known[b[i]] / (n + d))
+                    break
+                total -= math.log2(d / (n + d))
+            else:
+                total += 8
+        return total
+
+    for t in (made[0][1], "abq wé", ""):
+        assert np.allclose(model.cost(t.encode()), [bits(g, t.encode()) for g in model.langs], rtol=1e-4)
+    assert {r.lang_pred for r in langid.identify(odd.where("text is null or text = ''"), model).collect()} == {"und"}
+    assert langid.identify(empty, langid.train(empty)).count() == 0
+
+
+def test_quality(docs, empty, odd, text_of):
+    got = {r["doc_id"]: r for r in quality.judge(docs).select("row.doc_id", "*").collect()}
+    for i, t in text_of.items():
+        w, t = words(t), t or ""
+        lines = [x for x in t.split("\n") if words(x)]
+        grams = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        again = {k + j for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again))
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want, i
+        assert got[i].base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and not (got[i].base_failed and got[i].kept)
+    assert quality.judge(empty).count() == 0 and quality.judge(odd).count() == 5
+
+
+def shingle_set(t):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_jaccard(docs, empty, odd, text_of):
+    sets = {i: shingle_set(t) for i, t in text_of.items()}
+    low = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if x and y and 100 * len(x & y) >= 75 * len(x | y) and low[j] < low[i]:
+                    low[i], changed = low[j], True
+    got = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), low[i]) for i, s in sets.items()}
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(low.values()))
+    assert jaccard.near_duplicates(empty).count() == 0 and jaccard.near_duplicates(odd).count() == 5
+
+
+def test_subsets_and_lists_agree():
+    for n in range(1, 40):
+        for m in jaccard.partner_sizes(n):
+            c = jaccard.needed(n, m)
+            assert 100 * c >= 75 * (n + m - c) and 100 * (c - 1) < 75 * (n + m - c + 1)
+            assert c >= -(-3 * n // 4) or c > min(n, m)
+
+
+def test_embeddings(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(60, 8)).astype(np.float32)
+    x = np.concatenate([x, x[:10] + rnd.normal(size=(10, 8)).astype(np.float32) * 0.1, x[:5], x[:5] * 2])
+    rows = [(i, [float(v) for v in r], "a") for i, r in enumerate(x)] + [(900, None, "a"), (901, [0.0] * 8, "a"), (902, [float("nan")] * 8, None), (903, [None] * 8, "b")]
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, kept string")).collect()}
+    u = embed_dedup.unit(x)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    a, b = np.nonzero(near)
+    label = embed_dedup.components_of(a, b, len(x))
+    assert near.sum() > 20 and all((got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum(), label[i], label[i] == i) for i in range(len(x)))
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 904))
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_bpe(docs, empty, odd, text_of):
+    path = P.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    for r in bpe.encode_decode(docs, path).collect():
+        ids = library.encode(text_of[r.doc_id] or "", add_special_tokens=False).ids
+        assert list(r.ids) == ids and r.decoded == library.decode(ids, skip_special_tokens=False), r.doc_id
+    for r in bpe.digests(docs, path).collect():
+        ids = library.encode(text_of[r.doc_id] or "", add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and r.n_tokens == len(ids)
+    assert bpe.digests(empty, path).count() == 0 and bpe.digests(odd, path).count() == 5
+
+
+def test_lattice():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "abc", "c", "bc"]
+    lp = np.log(np.random.default_rng(1).dirichlet(np.ones(len(pieces) + 256))).tolist()
+    known, lattice = dict(zip(pieces, lp)), lm.Lattice(pieces, lp)
+
+    def ways(t):
+        if not t:
+            yield ()
+        for k in range(1, len(t) + 1):
+            if t[:k] in known or (k == 1 and t):
+                own = known.get(t[:k], sum(lp[len(pieces) + b] for b in t[0].encode()))
+                for rest in ways(t[k:]):
+                    yield ((t[:k], own), *rest)
+
+    found, uses = ["abc", "aabbc", "é", "cab", "xa", "a" * 9], np.zeros(len(pieces) + 256)
+    for w, s in zip(found, lattice.scores(found)):
+        all_ = [(q, math.exp(sum(x[1] for x in q))) for q in ways("▁" + w)]
+        total = sum(x for _, x in all_)
+        assert abs(math.log10(total) - s) < 1e-9
+        for q, x in all_:
+            for t, _ in q:
+                for i in [pieces.index(t)] if t in known else [len(pieces) + b for b in t.encode()]:
+                    uses[i] += x / total
+    assert np.allclose(uses, lattice.expect(found))
+
+
+def test_lm(docs, empty, odd, text_of):
+    path = P.path("piece_bpe_32k.model")
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    tokens = {i: [*words(fold(t)), None] for i, t in text_of.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    c = collections.Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    for r in lm.score(docs, path).collect():
+        ws = tokens[r.doc_id]
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(c[w] > 0 for w in ws), n)
+        assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+    assert lm.score(empty, path).count() == 0 and lm.score(odd, path).count() == 5
+
+
+def test_packing(docs, empty, odd, text_of):
+    path = P.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rows, sequences, by = packing.pack(docs, path).collect(), collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        sequences[r.sequence_id].append(r)
+        by[r.doc_id].append(r)
+    for i, t in text_of.items():
+        ids, at = [*library.encode(t or "", add_special_tokens=False).ids, 0], 0
+        for r in sorted(by[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[at : at + r.length]))
+            at += r.length
+        assert at == len(ids)
+    for s in sequences.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 1024
+    assert packing.pack(empty, path).count() == 0 and packing.pack(odd, path).count() == 5
+
+
+def test_best_cuts():
+    rnd = random.Random(4)
+    for _ in range(60):
+        cuts = [0]
+        while len(cuts) < 14:
+            cuts.append(cuts[-1] + rnd.randint(1, 9))
+        pen = [0] + [rnd.choice([0, 2, 24]) for _ in cuts[1:]]
+        cost = lambda path: sum(pen[b] + min(16 - (cuts[b] - cuts[a]), 1 if (cuts[b] - cuts[a]).bit_count() == 1 and cuts[b] - cuts[a] < 16 else 99) for a, b in zip(path, path[1:]))
+        least = [0] + [10**9] * 13
+        for j in range(1, 14):
+            for i in range(j):
+                if cuts[j] - cuts[i] <= 16:
+                    least[j] = min(least[j], least[i] + cost([i, j]))
+        packing_pad, packing.PAD_ENOUGH = packing.PAD_ENOUGH, 0
+        try:
+            assert cost(packing.best_cuts(cuts, pen, 16)) == least[-1]
+        finally:
+            packing.PAD_ENOUGH = packing_pad
+
+
+def test_index_finds_all_repeats():
+    rnd = random.Random(1)
+    for case in range(150):
+        found = [bytes(rnd.choices(b"ab" if case % 2 else b"abcdef", k=rnd.randint(1, 60))) for _ in range(rnd.randint(1, 6))]
+        n = rnd.choice([3, 5, 8])
+        c = collections.Counter(s[i : i + n] for s in found for i in range(len(s) - n + 1))
+        assert [list(x) for x in repeats.repeated_starts(found, n)] == [[i for i in range(len(s) - n + 1) if c[s[i : i + n]] > 1] for s in found]
+
+
+@pytest.mark.parametrize("group", [3000, 1])
+def test_repeats(docs, empty, odd, text_of, group, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP_SEGMENTS", group)
+    body = {i: (t or "").encode() for i, t in text_of.items()}
+    c = collections.Counter(b[i : i + 200] for b in body.values() for i in range(len(b) - 199))
+    for r in repeats.digests(docs).collect():
+        b = body[r.doc_id]
+        gone = {k for i in range(len(b) - 199) if c[b[i : i + 200]] > 1 for k in range(i, i + 200)}
+        kept = bytes(x for i, x in enumerate(b) if i not in gone)
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(kept).hexdigest()), r.doc_id
+    cut = repeats.without_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == len(text_of)
+    assert repeats.digests(empty).count() == 0 and repeats.digests(odd).count() == 5
+
+
+def test_secrets(docs, empty, odd, text_of):
+    kinds = [("assign", re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
+    found = secrets.scan(docs)
+    for r in found.select("record.doc_id", secrets.joined(F.col("spans")).alias("s")).collect():
+        t = text_of[r.doc_id] or ""
+        want = sorted((m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, g, n) in enumerate(kinds) for m in p.finditer(t) if len(m[g]) >= n)
+        assert r.s == ",".join(x[2] for x in want), r.doc_id
+    cleaned = secrets.without_secrets(docs)
+    assert cleaned.columns == docs.columns and not cleaned.where("text like '%hunter%' or text like '%AKIA%'").count() and cleaned.where("text is null").count() == 1
+    assert secrets.trigram_query(r"[0-9a-f]+") is None and secrets.trigram_query("AKIA[A-Z]+") == ("and", ("aki", "kia"))
+    assert secrets.scan(empty).count() == 0 and secrets.scan(odd).count() == 5
