@@ -132,16 +132,22 @@ def shingle_set(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def test_jaccard(docs, empty, odd, text_of):
-    sets = {i: shingle_set(t) for i, t in text_of.items()}
+def lowest_linked(sets):
+    """Smallest id reachable by links, by brute force."""
     low = {i: i for i in sets}
+    links = [(i, j) for i, x in sets.items() for j, y in sets.items() if x and y and 100 * len(x & y) >= 75 * len(x | y)]
     changed = True
     while changed:
         changed = False
-        for i, x in sets.items():
-            for j, y in sets.items():
-                if x and y and 100 * len(x & y) >= 75 * len(x | y) and low[j] < low[i]:
-                    low[i], changed = low[j], True
+        for i, j in links:
+            if low[j] < low[i]:
+                low[i], changed = low[j], True
+    return low
+
+
+def test_jaccard(docs, empty, odd, text_of):
+    sets = {i: shingle_set(t) for i, t in text_of.items()}
+    low = lowest_linked(sets)
     got = {r.doc_id: r for r in jaccard.near_duplicates(docs).collect()}
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s), low[i]) for i, s in sets.items()}
     kept = jaccard.deduplicated(docs)
@@ -149,6 +155,28 @@ def test_jaccard(docs, empty, odd, text_of):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.near_duplicates(odd).count() == 5
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Many changed copies of one text, of which some link with nothing; lists of several blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    rnd = random.Random(11)
+    base = [f"w{k}" for k in range(140)]
+    rows = []
+    for i in range(170):
+        w = list(base)
+        for k in rnd.sample(range(140), i % 10):
+            w[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(w[: 140 - rnd.randint(0, 30)])))
+    sets = {i: shingle_set(t) for i, t in rows}
+    low = lowest_linked(sets)
+    assert 5 < sum(low[i] == i for i in low) < 120
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == low
+    listed = spark.createDataFrame([(s, i, 140, i, 170) for s in range(4) for i in range(170)], "s long, node long, n int, c long, m long")
+    marks = spark.createDataFrame([(i, jaccard.signature(np.arange(i, i + 140, dtype=np.uint64))) for i in range(170)], "node long, sig binary")
+    pairs = [(r.a, r.b) for r in jaccard.met_in_long_lists(listed, marks).collect()]
+    assert sorted(pairs) == [(i, j) for i in range(170) for j in range(i + 1, min(170, i + 21))]
+
+
 def test_subsets_and_lists_agree():
     for n in range(1, 40):
         for m in jaccard.partner_sizes(n):
