@@ -22,15 +22,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders and tables that this driver wrote, oldest first; None where discarded.
+_written: list[str | None] = []
+
+
+def written() -> int:
+    """How many intermediate tables were written so far: a mark for discard()."""
+    return len(_written)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage, survives lost executors and lets several later steps read one result."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write df as a table bucketed by key, so that joins by it need no further exchange."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    _written.append(table)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
+def discard(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the intermediate tables from mark first to mark last; nothing may read them any more."""
+    for i in range(first, last):
+        item, _written[i] = _written[i], None
+        if item and "/" in item:
+            path = spark._jvm.org.apache.hadoop.fs.Path(item)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        elif item:
+            spark.sql(f"DROP TABLE IF EXISTS {item}")
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """df with a gapless number from 1 in a total order, without gathering rows in one task.
 
