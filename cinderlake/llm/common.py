@@ -6,9 +6,9 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlake.operators.graph import connected_components
-from cinderlake.plans.stored import materialize, shared_dir
+from cinderlake.plans.stored import bucketed, discard, materialize, shared_dir, written
 
-__all__ = ["WORD", "WORD_GAP", "col", "connected_components", "id_crc_mod", "materialize", "shared_dir", "small_batches", "words"]
+__all__ = ["WORD", "WORD_GAP", "bucketed", "col", "connected_components", "discard", "id_crc_mod", "materialize", "shared_dir", "small_batches", "words", "written"]
 
 #: Separators between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"

@@ -18,14 +18,13 @@ to what may repeat, and the index then finds the repeats:
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import col, materialize
+from cinderlake.llm.common import bucketed, col, materialize
 
 LENGTH, GRAM = 200, 40
 #: Bytes hashed at once, bytes of segments indexed at once, and distinct segments of an anchor that one task may hold.
@@ -163,13 +162,10 @@ def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     key is text_key(text). A null text counts as empty; texts shorter than `length` have no spans. Equal texts of at
     least `length` bytes are removed whole, each of them. An empty table gives an empty result."""
-    spark = docs.sparkSession
     rows = docs.select(F.coalesce(col("text"), F.lit("")).alias("t"))
     distinct = rows.select(text_key(F.col("t")).alias("key"), "t").groupBy("key").agg(F.first("t").alias("t"), F.count("*").alias("copies"))
     # Bucketed by key: the two later joins with this table don't shuffle its texts again.
-    name = f"texts_{uuid.uuid4().hex}"
-    distinct.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(distinct, "key", "texts")
 
     def anchors(batches):
         for batch in batches:

@@ -331,3 +331,37 @@ def test_secrets(docs, empty, odd, text_of):
     assert cleaned.columns == docs.columns and not cleaned.where("text like '%hunter%' or text like '%AKIA%'").count() and cleaned.where("text is null").count() == 1
     assert secrets.trigram_query(r"[0-9a-f]+") is None and secrets.trigram_query("AKIA[A-Z]+") == ("and", ("aki", "kia"))
     assert secrets.scan(empty).count() == 0 and secrets.scan(odd).count() == 5
+
+
+def test_pipeline(spark, tmp_path):
+    """The stages by brute force: who stays, which bytes go, and every id packed once."""
+    import corpus_pipeline as pipeline
+
+    rnd = random.Random(8)
+    vocab = ["".join(rnd.choices("abcdeilnorst", k=rnd.randint(2, 8))) for _ in range(900)]
+    say = lambda n: " ".join(rnd.choices(vocab, k=n))
+    shared, base = say(60), say(120)
+    texts = {i: say(80) + "\n" + say(60) for i in range(30)}
+    texts |= {40: base, 41: base + " more", 42: base, 50: say(70) + shared + say(40), 51: say(70) + shared + say(40), 60: "word " * 200, 61: "short", 62: None}
+    texts[70] = say(90) + " password = hunter2hunter2 " + say(30)
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept.append({r.doc_id: r.text for r in docs.collect()})
+    assert set(kept[0]) == set(texts) - {60, 61, 62} and set(kept[1]) == set(kept[0]) - {41, 42} == set(kept[2]) == set(kept[3])
+    for i, t in kept[1].items():
+        data, others = t.encode(), [u.encode() for j, u in kept[1].items() if j != i]
+        gone = {k for s in range(len(data) - 199) if any(data[s : s + 200] in u for u in others) or data.count(data[s : s + 200]) > 1 for k in range(s, s + 200)}
+        assert kept[2][i].encode() == bytes(b for k, b in enumerate(data) if k not in gone)
+    assert "hunter2" in kept[2][70] and "hunter2" not in kept[3][70]
+    pieces = pipeline.run(spark, str(tmp_path)).collect()
+    encoder = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    total = {i: len(encoder.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept[3].items()}
+    held = {}
+    for r in pieces:
+        held[r.doc_id] = held.get(r.doc_id, 0) + r.length
+    assert held == total
