@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlake.llm import bpe, embed_dedup, jaccard, langid, lm, packing, quality, repeats, secrets, sharding
+from cinderlake.llm import bpe, embed_dedup, jaccard, langid, lm, packing, quality, repeats, secrets, sharding, twins
 from cinderlake.llm.common import small_batches
 
 SHARDS = 24
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_ngram_jaccard": twins.OP4, "op5_embedding_dedup": twins.OP5}
