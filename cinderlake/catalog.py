@@ -11,6 +11,9 @@ from cinderlake.functions import text as X
 from cinderlake.operators import evidence as E
 from cinderlake.operators import graph as G
 from cinderlake.operators import joins as J
+from cinderlake.operators import models as M
+from cinderlake.operators import normalize as N
+from cinderlake.operators import signatures as R
 from cinderlake.operators import windows as W
 from cinderlake.sources.tables import events, table
 from cinderlake.streaming.filters import event_filter
@@ -439,22 +442,102 @@ def rollup_report(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), revenue.alias("revenue"))
 
 
-@twin()
-def ml_logistic(spark, sf_dir):
-    """Logistic regression of the quality label on text statistics; scores of all labelled documents."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def _raw_events(spark, sf_dir):
+    """The events as JSON objects of two shapes, by the parity of their id."""
+    rows = events(spark, sf_dir)
+    stamp = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    nested = F.struct(F.col("pos").alias("id"), stamp.alias("@timestamp"), F.col("severity").alias("level"), F.struct(F.col("user_id").alias("name")).alias("user"), (F.col("k") * 1000).alias("sport"), F.col("event_type").alias("type"))
+    flat = F.struct(F.col("pos").cast("string").alias("eventID"), F.expr("t div 1000").alias("eventTime"), F.element_at(F.array(*map(F.lit, ["info", "Low", "medium ", "HIGH", "critical"])), F.col("severity") + 1).alias("priority"), F.col("user_id").alias("account_name"), F.concat(F.lit("10.0.0."), F.col("k").cast("string")).alias("src"), F.col("event_type").alias("category"))
+    return rows.select("pos", F.when(F.col("pos") % 2 == 0, F.to_json(nested)).otherwise(F.to_json(flat)).alias("raw"))
+
+
+_NORMAL = f"""WITH {EV}, n AS (SELECT CAST(pos AS VARCHAR) AS event_id, CASE WHEN pos % 2 = 0 THEN t // 1000000 ELSE t // 1000 / 1000.0 END AS secs, severity, CAST(user_id AS VARCHAR) AS username, event_type,
+  CASE WHEN pos % 2 = 0 AND k * 1000 <= 65535 THEN k * 1000 END AS source_port, CASE WHEN pos % 2 = 1 AND k <= 255 THEN '10.0.0.' || k END AS source_ip,
+  CASE WHEN pos % 2 = 0 AND k * 1000 > 65535 THEN 'invalid_port:source_port' WHEN pos % 2 = 1 AND k > 255 THEN 'invalid_ip:source_ip' END AS issue FROM ev)"""
+
+
+@twin(_NORMAL + " SELECT event_id, CAST(round(secs * 1000) AS BIGINT) AS at_ms, severity, username, event_type, source_port, source_ip, coalesce(issue, '') AS issues FROM n")
+def normalize_events(spark, sf_dir):
+    rows = N.normalized(_raw_events(spark, sf_dir))
+    return rows.select("event_id", F.unix_millis("timestamp").alias("at_ms"), "severity", "username", "event_type", "source_port", "source_ip", F.array_join("issues", ",").alias("issues"))
+
+
+@twin(_NORMAL + " SELECT issue, count(*) AS n FROM n WHERE issue IS NOT NULL GROUP BY issue")
+def normalize_report(spark, sf_dir):
+    return N.report(N.normalized(_raw_events(spark, sf_dir)))
+
+
+def _signature_rows(spark, sf_dir):
+    """The events as log-ins, flows, key creations and opened port ranges, by their type."""
+    kind, k = F.col("event_type"), F.col("k")
+    api = F.when(kind == "error", "ConsoleLogin").when(kind == "signup", "CreateAccessKey").when(kind == "purchase", "AuthorizeSecurityGroupIngress").when(kind == "view", "DeleteTrail")
+    opened = F.struct(F.array(F.struct(F.lit("0.0.0.0/0").alias("cidrIp"), F.lit("tcp").alias("ipProtocol"), k.alias("fromPort"), (k + 5).alias("toPort"))).alias("ipPermissions"))
+    return events(spark, sf_dir).select(
+        F.col("pos").cast("string").alias("event_id"), F.when(kind == "click", "network").otherwise("cloud").alias("category"), api.alias("api"), F.lit("success").alias("outcome"),
+        (F.col("value") > 50).alias("mfa"), F.col("user_id").cast("string").alias("username"), F.lit("inbound").alias("direction"), F.lit("ACCEPT").alias("flow_action"),
+        F.concat(F.when(F.col("pos") % 2 == 0, "10.0.0.").otherwise("203.0.113."), k.cast("string")).alias("source_ip"), (k % 10 + 20).cast("int").alias("destination_port"),
+        F.when(kind == "purchase", F.to_json(opened)).when((kind == "signup") & (k % 2 == 0), F.to_json(F.struct(F.concat(F.lit("u"), k.cast("string")).alias("userName")))).alias("params"),
+    )
+
+
+@twin(f"""WITH {EV}, hit AS (SELECT 'CLOUD-AUTH-001' AS rule_id, pos, 'high' AS severity, CAST(user_id AS VARCHAR) AS detail FROM ev WHERE event_type = 'error' AND NOT value > 50
+  UNION ALL SELECT 'CLOUD-IAM-003', pos, 'high', 'u' || k FROM ev WHERE event_type = 'signup' AND k % 2 = 0
+  UNION ALL SELECT 'CLOUD-LOG-001', pos, 'critical', 'DeleteTrail' FROM ev WHERE event_type = 'view'
+  UNION ALL SELECT 'CLOUD-NET-002', pos, 'high', '203.0.113.' || k || ':' || (k % 10 + 20) FROM ev WHERE event_type = 'click' AND pos % 2 = 1 AND k % 10 IN (2, 3)
+  UNION ALL SELECT 'CLOUD-NET-001', pos, 'high', string_agg(CAST(port AS VARCHAR), ', ' ORDER BY port) FROM ev JOIN (SELECT unnest([22, 23, 1433, 2375, 3306, 3389, 5432, 6379, 9200, 27017]) AS port) p ON port BETWEEN k AND k + 5 WHERE event_type = 'purchase' GROUP BY pos)
+  SELECT 'alert-' || rule_id || '-' || pos AS alert_id, CAST(pos AS VARCHAR) AS event_id, rule_id, severity, detail FROM hit""")
+def signature_alerts(spark, sf_dir):
+    return R.alerts(_signature_rows(spark, sf_dir)).select("alert_id", "event_id", "rule_id", "severity", "detail")
+
+
+@twin(f"""WITH {EV}, a AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'CLOUD-LOG-001' WHEN event_type = 'error' AND NOT value > 50 THEN 'CLOUD-AUTH-001' WHEN event_type = 'signup' AND k % 2 = 0 THEN 'CLOUD-IAM-003' END AS rule_id, t FROM ev)
+  SELECT user_id, count(*) AS n_alerts, count(DISTINCT rule_id) AS n_rules, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, CASE WHEN count(*) FILTER (rule_id = 'CLOUD-LOG-001') > 0 THEN 'critical' ELSE 'high' END AS severity, min(t) AS first_t FROM a WHERE rule_id IS NOT NULL GROUP BY user_id""")
+def alert_view(spark, sf_dir):
+    """Alerts of the log-in, key and log rules by account: rules, highest severity, first evidence."""
+    rows = events(spark, sf_dir).select(F.col("pos").cast("string").alias("event_id"), "user_id", "t")
+    found = R.alerts(_signature_rows(spark, sf_dir)).where(F.col("rule_id").isin("CLOUD-LOG-001", "CLOUD-AUTH-001", "CLOUD-IAM-003"))
+    rank = F.array_position(F.array(*map(F.lit, E.SEVERITY_POINTS)), F.col("severity"))
+    return found.join(rows, "event_id").groupBy("user_id").agg(
+        F.count("*").alias("n_alerts"), F.countDistinct("rule_id").alias("n_rules"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), F.max_by("severity", rank).alias("severity"), F.min("t").alias("first_t"),
+    )
+
 
+def _labelled(spark, sf_dir):
+    """The labelled documents with text statistics and class-balancing weights."""
     text = F.col("text")
     ratio = lambda p: (F.length(text) - F.length(F.regexp_replace(text, p, ""))) / F.greatest(F.length(text), F.lit(1))
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    rows = rows.select("doc_id", F.col("quality").alias("label"), F.log1p(F.length(text)).alias("size"), ratio("[#*$%&|]").alias("symbols"), ratio(r"\p{Lu}").alias("capitals"), ratio("!").alias("marks"))
-    share = rows.agg(F.avg("label")).first()[0] or 0.5
-    weighted = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
-    data = VectorAssembler(inputCols=["size", "symbols", "capitals", "marks"], outputCol="features").transform(weighted)
-    model = LogisticRegression(weightCol="weight", maxIter=100, standardization=True).fit(data)
-    return model.transform(data).select("doc_id", "label", vector_to_array("probability")[1].alias("score"))
+    rows = rows.select("doc_id", F.col("quality").alias("label"), F.log1p(F.length(text)).alias("size"), ratio("[#*$%&|]").alias("symbols"), ratio(r"\p{Lu}").alias("capitals"), ratio("!").alias("marks")).na.fill(0.0, M.FEATURES)
+    return M.balanced(rows)
+
+
+@twin()
+def ml_logistic(spark, sf_dir):
+    """Logistic regression of the quality label on text statistics; scores of all labelled documents."""
+    return M.scored(M.fit(_labelled(spark, sf_dir), "logistic"), _labelled(spark, sf_dir))
+
+
+@twin()
+def ml_tree(spark, sf_dir):
+    return M.scored(M.fit(_labelled(spark, sf_dir), "tree"), _labelled(spark, sf_dir))
+
+
+@twin()
+def ml_forest(spark, sf_dir):
+    return M.scored(M.fit(_labelled(spark, sf_dir), "forest"), _labelled(spark, sf_dir))
+
+
+@twin()
+def ml_boosted(spark, sf_dir):
+    return M.scored(M.fit(_labelled(spark, sf_dir), "boosted"), _labelled(spark, sf_dir))
+
+
+@twin()
+def ml_importance(spark, sf_dir):
+    """Weight of each feature in the forest and in the regression."""
+    rows = _labelled(spark, sf_dir)
+    forest, line = M.importance(M.fit(rows, "forest")), M.importance(M.fit(rows, "logistic"))
+    return spark.createDataFrame([(f, forest[f], line[f]) for f in M.FEATURES], "feature string, forest double, logistic double")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

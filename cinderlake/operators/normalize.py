@@ -78,8 +78,10 @@ def normalized(rows: DataFrame) -> DataFrame:
     A row without id becomes anon-<pos>. A projection without shuffle; only IPv6 addresses go through Arrow."""
     parsed = rows.select("pos", F.try_parse_json("raw").alias("_e")).where(F.schema_of_variant("_e").startswith("OBJECT"))
     found = parsed.select("pos", *[looked_up(F.col("_e"), n).alias(f"_{n}") for n in ALIASES])
-    # kinds and texts are named once, so that the lookups aren't repeated in every expression
-    found = found.select("pos", *[F.col(f"_{n}") for n in ALIASES], *[kind(F.col(f"_{n}")).alias(f"_k_{n}") for n in ALIASES], *[as_text(F.col(f"_{n}")).alias(f"_t_{n}") for n in ALIASES])
+    # Kinds and texts are named once, behind inline(): filters and projections above it would otherwise be pushed
+    # down with all lookups written out again in every place.
+    named = [F.col(f"_{n}") for n in ALIASES] + [kind(F.col(f"_{n}")).alias(f"_k_{n}") for n in ALIASES] + [as_text(F.col(f"_{n}")).alias(f"_t_{n}") for n in ALIASES]
+    found = found.select("pos", F.inline(F.array(F.struct(*named))))
     out, issues = {}, []
     plain = lambda n: F.col(f"_k_{n}").isin("text", "number")
     text = lambda n: F.col(f"_t_{n}")
