@@ -54,10 +54,17 @@ def _long_address(values: pd.Series) -> pd.Series:
 
 
 def looked_up(event: Column, name: str) -> Column:
-    """The first alias that holds a value other than null; a literal dotted key goes before the nested path."""
-    paths = [p for a in ALIASES[name] for p in ([f"$['{a}']", f"$.{a}"] if "." in a else [f"$['{a}']"])]
-    values = [F.try_variant_get(event, p, "variant") for p in paths]
-    return F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in values])
+    """The first alias that holds a value other than null; a literal dotted key goes before the nested path.
+
+    event is the row's top-level map without nulls, so that only nested paths of keys it has need a variant walk."""
+    found = []
+    for alias in ALIASES[name]:
+        found.append(event[alias])
+        if "." in alias:
+            head, rest = alias.split(".", 1)
+            inner = F.try_variant_get(event[head], f"$.{rest}", "variant")
+            found.append(F.when(event[head].isNotNull() & ~F.is_variant_null(inner), inner))
+    return F.coalesce(*found)
 
 
 def kind(value: Column) -> Column:
@@ -77,6 +84,7 @@ def normalized(rows: DataFrame) -> DataFrame:
     keep first occurrences in order, a number of 1e11 or more is a time in milliseconds, a time without offset is UTC.
     A row without id becomes anon-<pos>. A projection without shuffle; only IPv6 addresses go through Arrow."""
     parsed = rows.select("pos", F.try_parse_json("raw").alias("_e")).where(F.schema_of_variant("_e").startswith("OBJECT"))
+    parsed = parsed.select("pos", F.map_filter(F.try_variant_get("_e", "$", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v)).alias("_e"))
     found = parsed.select("pos", *[looked_up(F.col("_e"), n).alias(f"_{n}") for n in ALIASES])
     # Kinds and texts are named once, behind inline(): filters and projections above it would otherwise be pushed
     # down with all lookups written out again in every place.
