@@ -326,6 +326,13 @@ def excluded_by_category(spark, sf_dir):
     return rows.join(relevant, "user_id", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@twin(f"""WITH RECURSIVE {COMP}, hit AS (SELECT DISTINCT cluster FROM ev JOIN members USING (pos) WHERE seed)
+  SELECT event_type, count(*) AS n FROM ev JOIN members USING (pos) WHERE cluster NOT IN (SELECT cluster FROM hit) GROUP BY event_type""")
+def excluded_by_cluster(spark, sf_dir):
+    """Events outside every cluster with a detection, by type; all detections of the table count, whatever their date."""
+    return G.without_detection(events(spark, sf_dir), components(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def _big_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
 

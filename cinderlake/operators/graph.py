@@ -85,6 +85,12 @@ def composition(events: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def without_detection(events: DataFrame, members: DataFrame) -> DataFrame:
+    """The events of clusters that hold no detection."""
+    joined = events.join(members, "pos")
+    return joined.join(joined.where("seed").select("cluster").distinct(), "cluster", "left_anti")
+
+
 def cooccurrence(pairs: DataFrame, group: str, item: str, top: int = 40) -> DataFrame:
     """The `top` most frequent unordered pairs of items in a group; ties by the items."""
     left = pairs.select(group, F.col(item).alias("a")).distinct()
