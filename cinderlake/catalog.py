@@ -509,6 +509,25 @@ def alert_view(spark, sf_dir):
     )
 
 
+@twin(f"""WITH RECURSIVE {_INCIDENTS}, held AS (SELECT DISTINCT pos, incident FROM cited JOIN owner ON alert = node), a AS ({_sql["signature_alerts"]}),
+  j AS (SELECT user_id, t, rule_id, a.severity, ['low', 'medium', 'high', 'critical'] AS levels, incident FROM a JOIN ev ON CAST(ev.pos AS VARCHAR) = a.event_id LEFT JOIN held ON held.pos = ev.pos),
+  g AS (SELECT user_id, count(*) AS n_alerts, count(DISTINCT rule_id) AS n_rules, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, arg_max(severity, list_position(levels, severity)) AS severity,
+    min(t) AS first_t, string_agg(DISTINCT CAST(incident AS VARCHAR), ',' ORDER BY CAST(incident AS VARCHAR)) AS incidents FROM j GROUP BY user_id)
+  SELECT * REPLACE (coalesce(incidents, '') AS incidents) FROM g""")
+def account_alerts(spark, sf_dir):
+    """Alerts of all row rules by account: rules, highest severity, first evidence, incidents that cite the evidence."""
+    rows = events(spark, sf_dir).select("pos", F.col("pos").cast("string").alias("event_id"), "user_id", "t")
+    found = R.alerts(_signature_rows(spark, sf_dir))
+    alerts = _alerts(spark, sf_dir)
+    # Alerts that cite an event are linked by it, so an event has one incident at most.
+    owners = E.owned(alerts, E.alert_links(alerts)).select(F.explode("keys").alias("pos"), "incident").distinct()
+    rank = F.array_position(F.array(*map(F.lit, E.SEVERITY_POINTS)), F.col("severity"))
+    return found.join(rows, "event_id").join(owners, "pos", "left").groupBy("user_id").agg(
+        F.count("*").alias("n_alerts"), F.countDistinct("rule_id").alias("n_rules"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), F.max_by("severity", rank).alias("severity"), F.min("t").alias("first_t"),
+        F.array_join(F.array_sort(F.collect_set(F.col("incident").cast("string"))), ",").alias("incidents"),
+    )
+
+
 def _labelled(spark, sf_dir):
     """The labelled documents with text statistics and class-balancing weights."""
     text = F.col("text")

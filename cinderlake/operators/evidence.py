@@ -54,11 +54,15 @@ def alert_links(alerts: DataFrame, seconds: int = 4 * 3600) -> DataFrame:
     return keyed.join(other, "key").where((F.col("alert") < F.col("alert2")) & (gap <= seconds * 1_000_000)).select(F.col("alert").alias("a"), F.col("alert2").alias("b")).distinct()
 
 
+def owned(alerts: DataFrame, links: DataFrame) -> DataFrame:
+    """alerts with the incident of each: the smallest alert that links lead to."""
+    found = connected_components(links)
+    return alerts.join(found, F.col("alert") == F.col("node"), "left").withColumn("incident", F.coalesce("component", "alert")).drop("node", "component")
+
+
 def incidents(alerts: DataFrame, links: DataFrame) -> DataFrame:
     """One row per group of linked alerts, named by its smallest alert, with its span and sizes."""
-    found = connected_components(links)
-    owned = alerts.join(found, F.col("alert") == F.col("node"), "left").withColumn("incident", F.coalesce("component", "alert"))
-    return owned.groupBy("incident").agg(F.count("*").alias("n_alerts"), F.sum("n_events").alias("n_events"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"), F.max("severity_rank").alias("severity_rank"))
+    return owned(alerts, links).groupBy("incident").agg(F.count("*").alias("n_alerts"), F.sum("n_events").alias("n_events"), F.min("first_t").alias("first_t"), F.max("last_t").alias("last_t"), F.max("severity_rank").alias("severity_rank"))
 
 
 def risk(incident: DataFrame) -> DataFrame:

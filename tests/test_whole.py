@@ -19,3 +19,10 @@ def test_excluded_by_cluster(spark, tmp_path):
             (5, "06-03", 0, 2, 5, "error"), (6, "06-05", 0, 3, 6, "error"), (7, "06-05", 5, 3, 6, "view")]
     found = catalog.queries()["excluded_by_cluster"](spark, events_table(spark, tmp_path, rows))
     assert {tuple(r) for r in found.collect()} == {("error", 2), ("view", 1)}
+
+
+def test_account_alerts(spark, tmp_path):
+    """Network rules count, an account with such alerts alone is there, and cited events name their incident."""
+    rows = [(1, "01-01", 0, 1, 2, "click"), (2, "01-01", 5, 2, 22, "purchase")] + [(i, "01-02", i, 3, 50, "error") for i in (3, 4, 5)]
+    found = {r.user_id: r for r in catalog.queries()["account_alerts"](spark, events_table(spark, tmp_path, rows)).collect()}
+    assert {u: (r.n_alerts, r.rules, r.incidents) for u, r in found.items()} == {1: (1, "CLOUD-NET-002", ""), 2: (1, "CLOUD-NET-001", ""), 3: (3, "CLOUD-AUTH-001", "6")}
