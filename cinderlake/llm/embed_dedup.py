@@ -132,14 +132,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 
     Two rows link if the cosine of their vectors is at least `least`. Vectors that are null, zero, or hold a null or
     non-finite component link with nothing: they have 0 links and are their own component. Equal vectors are joined
-    as one, with their number; repeated ids count as rows of their own. Vectors of another length than the most
+    as one, with their number; repeated ids count as rows of their own. component_id is the smallest id of the rows
+    reachable by links; a row without id links like others, takes its component's id and has a null kept. Vectors of another length than the most
     frequent one are compared only among equal lengths. An empty table gives an empty result."""
     eps = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
     raw = vectors.select(col("vec_id").cast("long").alias("vec_id"), col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = raw.withColumn("v", F.when(valid, F.col("v")))
-    classes = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).where("rep is not null"), "vectors")
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    # Numbers of vectors, fixed by being written; ids may be null or repeated.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     counts, edges = [], []
     for size in [r[0] for r in classes.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]:
         mine = classes.where(F.size("v") == size)
@@ -152,7 +155,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     linked = _union(counts).groupBy("a").agg(F.sum("n").alias("n"))
     component = connected_components(_union(edges))
     info = classes.join(linked, classes["rep"] == linked["a"], "left").join(component, classes["rep"] == component["node"], "left")
-    info = info.select(F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    info = info.select(F.col("v").alias("w"), "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    info = info.join(info.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("w", "n_links", "component_id")
     out = rows.join(info, F.col("v") == F.col("w"), "left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"))
