@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.operators.graph import connected_components
-from cinderlake.plans.stored import numbered
+from cinderlake.plans.stored import materialize, numbered
 
 #: Weights of the linear score and the selection threshold.
 WEIGHTS = {
@@ -36,7 +36,13 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 def evidence_objects(selected: DataFrame, keys: list[str], least: int = 3, shown: int = 5) -> DataFrame:
     """Groups of at least `least` selected rows as one aggregate each; all other rows as single objects."""
-    groups = selected.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.array_sort(F.collect_list(F.struct("t", "pos"))).alias("all"))
+    rows = materialize(selected.select(*keys, "t", "pos"), "selected")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    # The limit on the row number holds before the shuffle too, so no group gathers its rows.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("t"), F.asc_nulls_last("pos")))
+    first = rows.withColumn("place", place).where(F.col("place") <= max(shown, least)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "pos"))).alias("all"))
+    first = first.select(*[F.col(k).alias(f"first_{k}") for k in keys], "all")
+    groups = sizes.join(first, [F.col(k).eqNullSafe(F.col(f"first_{k}")) for k in keys])
     ids = lambda a: F.array_join(F.transform(F.slice(a, 1, shown), lambda x: x["pos"].cast("string")), ",")
     many = groups.where(F.col("n") >= least).select(*keys, F.lit("aggregate").alias("kind"), "n", "first_t", "last_t", ids("all").alias("ids"))
     one = groups.where(F.col("n") < least).select(*keys, F.explode("all").alias("e"))

@@ -76,13 +76,12 @@ def cluster_statistics(members: DataFrame, edges: DataFrame) -> DataFrame:
 def composition(events: DataFrame, members: DataFrame) -> DataFrame:
     """Per event: its cluster's size and the shares of detections, of its type and of its source among them."""
     joined = events.join(members, "pos")
-    whole = Window.partitionBy("cluster")
-    share = lambda c: F.round(c / F.count("*").over(whole), 6)
-    return joined.select(
-        "pos", "cluster", F.count("*").over(whole).alias("size"), share(F.sum(F.col("seed").cast("int")).over(whole)).alias("detection_fraction"),
-        share(F.count("*").over(Window.partitionBy("cluster", "event_type"))).alias("event_type_similarity"),
-        F.max(F.col("seed").cast("int")).over(whole).alias("has_detection"),
-    )
+    kinds = joined.groupBy("cluster", "event_type").agg(F.count("*").alias("same"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.max(F.col("seed").cast("int")).alias("has_detection"))
+    wholes = kinds.groupBy("cluster").agg(F.sum("same").alias("size"), F.sum("seeds").alias("seeds"), F.max("has_detection").alias("has_detection"))
+    kinds = kinds.select(F.col("cluster").alias("c"), F.col("event_type").alias("kind"), "same")
+    counted = joined.select("pos", "cluster", "event_type").join(wholes, "cluster").join(kinds, (F.col("cluster") == F.col("c")) & F.col("event_type").eqNullSafe(F.col("kind")))
+    share = lambda c: F.round(F.col(c) / F.col("size"), 6).alias
+    return counted.select("pos", "cluster", "size", share("seeds")("detection_fraction"), share("same")("event_type_similarity"), "has_detection")
 
 
 def without_detection(events: DataFrame, members: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.plans.stored import materialize, numbered
+
 
 def threshold(rows: DataFrame, n: int, seconds: int, distinct: bool = False) -> DataFrame:
     """First window of each key in which rows(key, t, pos[, d]) reach n; at most one alert per key.
@@ -76,10 +78,11 @@ def islands(ids: DataFrame, column: str, bucket: int = 1 << 20) -> DataFrame:
     numbers = ids.select(F.col(column).alias("x")).where("x is not null").distinct().withColumn("b", F.expr(f"x div {bucket}"))
     place = F.row_number().over(Window.partitionBy("b").orderBy("x"))
     runs = numbers.withColumn("g", F.col("x") - place).groupBy("b", "g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    edge = runs.where(f"pmod(lo, {bucket}) = 0 or pmod(hi, {bucket}) = {bucket - 1}")
-    w = Window.orderBy("lo")
-    joined = edge.withColumn("new", (F.col("lo") != F.coalesce(F.lag("hi").over(w), F.lit(-(1 << 60))) + 1).cast("int"))
-    joined = joined.withColumn("g2", F.sum("new").over(w)).groupBy("g2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    edge = materialize(runs.where(f"pmod(lo, {bucket}) = 0 or pmod(hi, {bucket}) = {bucket - 1}").select("lo", "hi"), "edge-runs")
+    # In order, the n-th run without a predecessor begins what the n-th run without a successor ends.
+    begins = edge.select("lo").join(edge.select((F.col("hi") + 1).alias("lo")), "lo", "left_anti")
+    ends = edge.select("hi").join(edge.select((F.col("lo") - 1).alias("hi")), "hi", "left_anti")
+    joined = numbered(begins, [F.asc("lo")]).join(numbered(ends, [F.asc("hi")]), "n")
     inner = runs.where(f"not (pmod(lo, {bucket}) = 0 or pmod(hi, {bucket}) = {bucket - 1})").select("lo", "hi")
     return inner.union(joined.select("lo", "hi")).withColumn("n", F.col("hi") - F.col("lo") + 1)
 

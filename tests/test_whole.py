@@ -1,9 +1,13 @@
 """Queries see the whole table and say the same of small and of large groups."""
 
+import contextlib
+import io
 import json
+import re
 
 from cinderlake import catalog
 from cinderlake.llm import embed_dedup
+from cinderlake.operators import evidence, graph, windows
 
 
 def events_table(spark, folder, rows):
@@ -34,3 +38,25 @@ def test_embeddings_null_and_repeated_ids(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (7, [0.0, 1.0]), (7, [-1.0, 0.0]), (8, [0.01, 1.0])]
     found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found) == [(0, 2, 1, None), (1, 2, 1, True), (2, 2, 1, False), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False)]
+
+
+def plan_of(df):
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        df.explain("extended")
+    return out.getvalue()
+
+
+def test_no_task_holds_a_group(spark):
+    """No window over whole groups, no list of a whole group, no global sort in one task; results stay right."""
+    events = spark.createDataFrame([(i, i % 2 == 0, "a" if i < 7 else None) for i in range(10)], "pos long, seed boolean, event_type string")
+    mixed = graph.composition(events, events.selectExpr("pos", "0L cluster"))
+    assert {tuple(r) for r in mixed.collect()} == {(i, 0, 10, 0.5, 0.7 if i < 7 else 0.3, 1) for i in range(10)}
+    assert "Window" not in plan_of(mixed)
+    rows = spark.createDataFrame([("a", i, i) for i in range(50, 0, -1)] + [(None, i, 100 + i) for i in range(2)], "k string, t long, pos long")
+    shown = evidence.evidence_objects(rows, ["k"])
+    assert sorted((r.k or "", r.kind, r.n, r.first_t, r.last_t, r.ids) for r in shown.collect()) == [("", "single", 1, 0, 0, "100"), ("", "single", 1, 1, 1, "101"), ("a", "aggregate", 50, 1, 50, "1,2,3,4,5")]
+    assert "WindowGroupLimit" in plan_of(shown)
+    ids = spark.createDataFrame([(i,) for i in [*range(3, 30), 32, *range(34, 36), 40, None]], "x long")
+    runs = windows.islands(ids, "x", 4)
+    assert sorted(map(tuple, runs.collect())) == [(3, 29, 27), (32, 32, 1), (34, 35, 2), (40, 40, 1)]
+    assert not re.search(r"windowspecdefinition\(lo", plan_of(runs))
