@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.plans.hot import join_hot
 from cinderlake.plans.stored import materialize
 
 #: Seconds of a link and earlier neighbours per entity.
 LINK_SECONDS, NEIGHBOURS = 3600, 3
 
 
+def contracted(edges: DataFrame, portion: int = 1_000_000) -> DataFrame:
+    """(a, b) with a > b: the edges of each portion replaced by a star around every component in it.
+
+    What a portion connects stays connected, in at most as many edges, and a task holds one portion at a time."""
+
+    def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while len(x):
+            p, q = label[x], label[y]
+            open_ = p != q
+            x, y, p, q = x[open_], y[open_], p[open_], q[open_]
+            np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+            while (label != (up := label[label])).any():
+                label = up
+        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[label[leaf]])], names=["a", "b"])
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= portion:
+                yield star(*map(np.concatenate, zip(*held)))
+                held, rows = [], 0
+        if held:
+            yield star(*map(np.concatenate, zip(*held)))
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is its smallest reachable node.
 
-    Alternates the large-star and small-star steps. A node's minimum comes from a partial aggregate that is
-    joined back, so a hub's edges never meet in one task. Null ends and loops are ignored; repeated edges are
-    harmless; an empty input gives an empty result."""
-    pairs = edges.where("a is not null and b is not null and a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
-    nodes = pairs = materialize(pairs, "edges")
-    before = None
+    Every round contracts the edges of each partition by themselves and, while stars still touch one another, does a
+    large-star and a small-star step between partitions. A node's least neighbour comes from a partial aggregate. Few edges lie
+    in one partition and are done after one round. Null ends and loops are ignored; repeated edges are harmless; an
+    empty input gives an empty result."""
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     for _ in range(max_rounds):
+        # Contracted before the edges are dealt by their larger ends, and again after it.
+        pairs = materialize(contracted(contracted(pairs).repartition("a")), "stars")
+        # Done if stars touch no other one: every leaf has one centre, and no centre is a leaf.
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("leaf")), F.struct(F.col("b").alias("x"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+        touched = ends.groupBy("x").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("centre")).where("leaves > 1 or (leaves = 1 and centre = 0)")
+        if touched.limit(1).count() == 0:
+            break
         both = pairs.union(pairs.selectExpr("b a", "a b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
+        large = join_hot(both, low, "a").where("b > a").selectExpr("b a", "m b").where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = materialize(star.select("e.a", "e.b").where("a <> b").distinct(), "stars")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        pairs = materialize(star.selectExpr("greatest(e.a, e.b) a", "least(e.a, e.b) b").where("a <> b").distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
-    ids = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return ids.join(pairs.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.selectExpr("b", "b").distinct())
 
 
 def event_entities(events: DataFrame) -> DataFrame:
