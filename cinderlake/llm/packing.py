@@ -29,9 +29,8 @@ from cinderlake.llm.common import col
 
 LENGTH = 1024
 SENTENCE_PENALTY, INNER_PENALTY, LONG = 2, 24, 64
-#: Windows that need no more padding than this aren't tried at powers of two.
-PAD_ENOUGH = 6
-#: Ids that are packed at once; a block's last windows may be shorter.
+#: Ids from which a block of documents is cut and packed: it bounds a task's memory. A block ends with a document and
+#: begins a new window, so a block costs at most one padded window more than an endless run would.
 BLOCK_IDS = 2_000_000
 #: A run of white space with the word after it: pre-tokens never reach beyond it.
 CHUNK = re.compile(r"\s*\S+|\s+$")
@@ -100,23 +99,34 @@ def tokenizer_of(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
+def unpadded(cuts: list[int], length: int) -> tuple[list[int], list[int]]:
+    """For each cut the earlier cuts at a power of two below length from it: starts in a list of indices."""
+    at = np.asarray(cuts, dtype=np.int64)
+    late, early = [], []
+    for k in range(length.bit_length() - 1):
+        found = np.searchsorted(at, at - (1 << k))
+        hit = np.flatnonzero(at[found] == at - (1 << k))
+        late.append(hit)
+        early.append(found[hit])
+    j = np.concatenate(late)
+    order = np.argsort(j, kind="stable")
+    return np.searchsorted(j[order], np.arange(len(at) + 1)).tolist(), np.concatenate(early)[order].tolist()
+
+
 def best_cuts(cuts: list[int], penalty: list[int], length: int = LENGTH) -> list[int]:
     """Indices of the chosen cuts, the first and the last included; neighbours among cuts are at most length apart."""
-    where = {p: i for i, p in enumerate(cuts)}
+    first, exact = unpadded(cuts, length)
     cost, back = [0] * len(cuts), [0] * len(cuts)
     queue = deque([(0 + cuts[0], 0)])
-    powers = [1 << k for k in range(length.bit_length() - 1)]
     for j in range(1, len(cuts)):
         p = cuts[j]
         while cuts[queue[0][1]] < p - length:
             queue.popleft()
         least, i = queue[0]
         best = least + length - p
-        if length - p + cuts[i] > PAD_ENOUGH:
-            for x in powers:
-                k = where.get(p - x)
-                if k is not None and cost[k] + 1 < best:
-                    best, i = cost[k] + 1, k
+        for k in exact[first[j] : first[j + 1]]:
+            if cost[k] + 1 < best:
+                best, i = cost[k] + 1, k
         cost[j], back[j] = best + penalty[j], i
         key = cost[j] + p
         while queue and queue[-1][0] >= key:
