@@ -7,10 +7,9 @@ to what may repeat, and the index then finds the repeats:
 2. Every window of `length` bytes chooses one anchor, the k-gram of least hash in it. Equal windows choose equal
    anchors, so a window can only repeat where its anchor's hash does. Windows that follow one another and share an
    anchor form a segment; segments whose anchor occurs once are done.
-3. Segments are read back once for each distinct content. Those that share an anchor are sorted into a suffix array,
-   whose Burrows-Wheeler transform is kept as runs. The longest match of a suffix with its neighbour is worked out at
-   run heads only; along the text it then shrinks by one a byte until the next run head. Starts whose match with
-   either neighbour reaches `length` repeat.
+3. Segments are read back once for each distinct content. For those that share an anchor a run-length index is built:
+   the runs of their Burrows-Wheeler transform with the suffix sampled at both ends of every run. Matching statistics
+   are streamed from the samples along the text; starts whose longest match reaches `length` repeat.
 4. Anchors shared by more distinct segments than one task should hold are finished by counting window digests in a
    distributed aggregate.
 """
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import bucketed, col, materialize
+from cinderlake.llm.common import bucketed, col, join_hot, materialize
 
 LENGTH, GRAM = 200, 40
 #: Bytes hashed at once, bytes of segments indexed at once, and distinct segments of an anchor that one task may hold.
@@ -87,61 +86,83 @@ def pieces_of(owner: int, text: bytes, length: int):
         yield owner, i, text[i : i + PIECE + length - 1]
 
 
+class RunIndex:
+    """The Burrows-Wheeler transform of many strings as runs, with the suffix sampled at both ends of every run.
+
+    Kept for each run: its byte, its length, and at its head (tail) the text position and the length of the match with
+    the suffix before (after) it in order. The suffix array is needed only to build this and isn't kept."""
+
+    def __init__(self, strings: list[bytes]):
+        s = len(strings)
+        self.ends = np.cumsum([len(x) + 1 for x in strings])
+        self.n = n = int(self.ends[-1])
+        data = np.zeros(n, dtype=np.int64)
+        data[:] = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8)
+        data += s
+        data[self.ends - 1] = np.arange(s)  # each end is its own, smallest symbol
+        order = self._sorted_suffixes(data, s + 256)
+        before = data[order - 1]
+        new = np.concatenate([[True], (np.diff(before) != 0) | (before[1:] < s)])
+        head = np.flatnonzero(new)
+        tail = np.concatenate([head[1:] - 1, [n - 1]])
+        self.byte, self.length = before[head] - s, tail - head + 1  # ends are negative
+        self.heads = self._sampled(data, order[head], order[head - 1], head > 0)
+        self.tails = self._sampled(data, order[tail], order[np.minimum(tail + 1, n - 1)], tail < n - 1)
+
+    @staticmethod
+    def _sorted_suffixes(data: np.ndarray, width: int) -> np.ndarray:
+        """Suffix array by doubling; ends differ, so the order becomes total."""
+        n = len(data)
+        place = np.arange(n)
+        shift = lambda r, d: r[np.minimum(place + d, n - 1)]
+        key = (data * width + shift(data, 1)) * width + shift(data, 2)
+        span = 3
+        while True:
+            order = np.argsort(key, kind="stable")
+            step = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
+            if step[-1] == n - 1:
+                return order
+            rank = np.empty(n, dtype=np.int64)
+            rank[order] = step
+            key = rank * n + shift(rank, span)
+            span *= 2
+
+    @staticmethod
+    def _sampled(data: np.ndarray, a: np.ndarray, b: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled positions a in order, with the lengths of their matches with b, compared byte by byte."""
+        n, match = len(data), np.zeros(len(a), dtype=np.int64)
+        left, reach = np.flatnonzero(valid), 0
+        while len(left):
+            x = data[np.minimum(a[left, None] + reach + np.arange(8), n - 1)]
+            y = data[np.minimum(b[left, None] + reach + np.arange(8), n - 1)]
+            same = x == y
+            whole = same.all(axis=1)
+            match[left] += np.where(whole, 8, same.argmin(axis=1))
+            left = left[whole]
+            reach += 8
+        at = np.argsort(a)
+        return a[at], match[at]
+
+    def matching_statistics(self, portion: int = 1 << 16):
+        """(first position, longest match with any other suffix from each position on), streamed along the text.
+
+        Inside a run the match with either neighbour in order shrinks by one a byte, so the last sample decides."""
+        for lo in range(0, self.n, portion):
+            at = np.arange(lo, min(lo + portion, self.n))
+            best = np.zeros(len(at), dtype=np.int64)
+            for where, match in (self.heads, self.tails):
+                k = np.searchsorted(where, at, side="right") - 1
+                best = np.maximum(best, np.where(k >= 0, match[k] - (at - where[k]), 0))
+            yield lo, best
+
+
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment, the starts of its `length`-byte windows that also start elsewhere in the segments."""
-    s = len(segments)
-    ends = np.cumsum([len(x) + 1 for x in segments])
-    n = int(ends[-1])
-    data = np.zeros(n, dtype=np.int64)
-    data[:] = np.frombuffer(b"\0".join(segments) + b"\0", dtype=np.uint8)
-    data += s
-    data[ends - 1] = np.arange(s)  # each end is its own, smallest symbol
-    place = np.arange(n)
-    shift = lambda r, d: r[np.minimum(place + d, n - 1)]
-    width = s + 256
-    key = (data * width + shift(data, 1)) * width + shift(data, 2)
-    span = 3
-    while True:  # suffix array by doubling; ends differ, so the order becomes total
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
-            break
-        key = rank * n + shift(rank, span)
-        span *= 2
-    before = data[order - 1]
-    head = np.flatnonzero(np.concatenate([[True], np.diff(before) != 0]) | (before < s))
-    head = head[head > 0]  # run heads but the first; only here are matches compared byte by byte
-    a, b = order[head], order[head - 1]
-    match = np.zeros(len(head), dtype=np.int64)
-    left = np.arange(len(head))
-    reach = 0
-    while len(left):
-        x = data[np.minimum(a[left, None] + reach + np.arange(8), n - 1)]
-        y = data[np.minimum(b[left, None] + reach + np.arange(8), n - 1)]
-        same = x == y
-        whole = same.all(axis=1)
-        match[left] += np.where(whole, 8, same.argmin(axis=1))
-        left = left[whole]
-        reach += 8
-    value = np.zeros(n, dtype=np.int64)
-    value[a] = match
-    is_head = np.zeros(n, dtype=bool)
-    is_head[a] = True
-    is_head[order[0]] = True
-    last = np.maximum.accumulate(np.where(is_head, place, 0))
-    lcp = np.maximum(value[last] - (place - last), 0)  # with the suffix before it in order, streamed along the text
-    longest = lcp.copy()
-    longest[order[:-1]] = np.maximum(longest[order[:-1]], lcp[order[1:]])
-    hits = np.flatnonzero(longest >= length)
-    owner = np.searchsorted(ends, hits, side="right")
-    first = np.concatenate([[0], ends[:-1]])
-    return [hits[owner == i] - first[i] if len(hits) else hits for i in range(s)] if s < 64 else _split(hits - first[owner], owner, s)
-
-
-def _split(values: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
-    return np.split(values, np.searchsorted(owner, np.arange(1, n)))
+    index = RunIndex(segments)
+    hits = np.concatenate([lo + np.flatnonzero(best >= length) for lo, best in index.matching_statistics()])
+    owner = np.searchsorted(index.ends, hits, side="right")
+    first = np.concatenate([[0], index.ends[:-1]])
+    return np.split(hits - first[owner], np.searchsorted(owner, np.arange(1, len(segments))))
 
 
 def runs(starts: np.ndarray) -> list[list[int]]:
@@ -193,11 +214,10 @@ def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "h", "seg", "start", "windows"])
 
     every = materialize(texts.select("key", "t").mapInArrow(anchors, SEGMENT), "segments")
-    again = every.groupBy("h").count().where("count > 1").select("h")
-    open_ = materialize(every.join(again, "h"), "shared")
-    kinds = materialize(open_.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("one")), "kinds")
+    # One row a distinct segment before anything is dealt by anchor.
+    kinds = materialize(every.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("one")), "kinds")
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(mixed, "h").select("h", "seg", "kinds", "one.*")
+    wanted = join_hot(kinds, mixed, "h").select("h", "seg", "kinds", "one.*")
     asked = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "seg", "kinds", "start", "windows")).alias("asked"))
 
     def bodies(batches):
@@ -245,9 +265,9 @@ def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     many = spread.join(twice, "d").groupBy("h", "seg").agg(F.collect_list(F.array(F.col("i"), F.lit(1).cast("long"))).alias("starts"))
     marks = few.union(many)
     whole = kinds.where("n > 1").select("h", "seg", F.lit(True).alias("whole"))
-    hit = marks.join(whole, ["h", "seg"], "full")
-    # One join gives every open segment its repeated starts, wherever it stands.
-    spans = open_.join(hit, ["h", "seg"]).select("key", F.when(F.col("whole"), F.array(F.array(F.col("start").cast("long"), F.col("windows").cast("long")))).otherwise(F.transform("starts", lambda r: F.array(F.col("start") + r[0], r[1]))).alias("r"))
+    hit = materialize(marks.join(whole, ["h", "seg"], "full"), "hits")
+    # One join gives every segment its repeated starts, wherever it stands.
+    spans = join_hot(every, hit, "h", "seg").select("key", F.when(F.col("whole"), F.array(F.array(F.col("start").cast("long"), F.col("windows").cast("long")))).otherwise(F.transform("starts", lambda r: F.array(F.col("start") + r[0], r[1]))).alias("r"))
     spans = spans.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("starts"))
 
     def merge(batches):
