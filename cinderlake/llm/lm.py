@@ -9,7 +9,7 @@ No piece reaches across a word's start, so the sum is a product over words and e
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +31,10 @@ LN10 = math.log(10)
 #: Distinct words that a task counts before it hands them on.
 FLUSH_WORDS = 300_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Cells of the lattice that are worked out at once.
-CELLS = 4_000_000
+#: Cells of the lattice that are worked out at once, and characters from which a word is worked out by stretches.
+CELLS, LONG_WORD = 4_000_000, 4096
+#: What the vocabulary's own scores count for in EM, in uses: they stay a prior of the pieces' weights.
+PRIOR_USES = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -132,7 +134,8 @@ class Lattice:
         """Indices and codes of words of equal length, in blocks of bounded size; each word gets its mark."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
+            if len(w) < LONG_WORD:
+                by_length.setdefault(len(w), []).append(i)
         for n, at in by_length.items():
             step = max(1, CELLS // ((n + 1) * self.longest))
             for k in range(0, len(at), step):
@@ -140,16 +143,38 @@ class Lattice:
                 text = "".join([MARK + words[i] for i in part])
                 yield part, np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).reshape(len(part), n + 1).astype(np.uint64)
 
+    def long_score(self, word: str) -> float:
+        """forward() of one long word: edges of a stretch at a time, and only the last alphas are kept."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        alpha = deque([0.0], maxlen=self.longest)  # of the latest places, the last one at the end
+        for lo in range(0, len(codes), LONG_WORD):
+            first = max(0, lo - self.longest + 1)
+            hi = min(lo + LONG_WORD, len(codes))
+            edges = [lp[0].tolist() for _, lp in self.edges(codes[None, first:hi])]
+            for j in range(lo + 1, hi + 1):
+                terms = []
+                for k in range(1, min(len(edges), len(alpha)) + 1):
+                    lp = edges[k - 1][j - k - first]
+                    if lp > -math.inf:
+                        terms.append(alpha[-k] + lp)
+                top = max(terms)
+                alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        return alpha[-1]
+
     def scores(self, words: list[str]) -> np.ndarray:
         """log10 of each word's probability over all its segmentations."""
         out = np.zeros(len(words))
         for at, codes in self._blocks(words):
             out[at] = self.forward(self.edges(codes), codes.shape[1])[:, -1] / LN10
+        for i, w in enumerate(words):
+            if len(w) >= LONG_WORD:
+                out[i] = self.long_score(w) / LN10
         return out
 
     def expect(self, words: list[str]) -> np.ndarray:
-        """Expected uses of each piece in the words, each taken once."""
-        uses = np.zeros(self.n + 256)
+        """Expected uses of each piece in the words, each taken once; long words are taken as stretches of LONG_WORD - 1."""
+        uses, step = np.zeros(self.n + 256), LONG_WORD - 1
+        words = [w[i : i + step] for w in words for i in range(0, max(1, len(w)), step)]
         for _, codes in self._blocks(words):
             edges, n = self.edges(codes), codes.shape[1]
             alpha = self.forward(edges, n)
@@ -207,13 +232,15 @@ def count_words(docs: DataFrame, modulus: int, held: int) -> DataFrame:
 
 
 def fit(counts: DataFrame, path: str, rounds: int = EM_ROUNDS) -> list[float]:
-    """Log probabilities of the pieces by EM over all distinct training words, as the lattice has to explain kinds of
-    words, not their repetitions; only one sum a piece leaves the executors in each round."""
+    """Log probabilities of the pieces: those of the vocabulary's scores as a prior, and EM over all distinct training
+    words, as the lattice has to explain kinds of words, not their repetitions. Only one sum a piece leaves the
+    executors in each round."""
     pieces, weights = vocabulary(path)
-    n = len(pieces)
-    used = dict(enumerate(weights))
+    n, whole = len(pieces), sum(weights)
+    prior = [PRIOR_USES * w / whole + 0.1 for w in weights] + [0.01] * 256
+    used: dict[int, float] = {}
     for r in range(rounds + 1):
-        mass = [used.get(i, 0.0) + (0.1 if i < n else 0.01) for i in range(n + 256)]
+        mass = [p + used.get(i, 0.0) for i, p in enumerate(prior)]
         whole = math.log(sum(mass))
         log_p = [math.log(m) - whole for m in mass]
         if r == rounds:
@@ -235,38 +262,38 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
     """One row per row of docs(doc_id, text, ...), learnt from those whose crc32(doc_id) mod modulus isn't held.
 
     Returns doc_id, held_out, n_tokens (words and the end), n_known, train_tokens, base_score (log10, add-one unigram
-    words) and score (log10: a token's discounted share of the training tokens as a whole-word edge, plus the
-    discounted mass spread over all strings by the lattice). A null or empty text is the end alone. Repeated rows are scored each; an
-    empty table gives an empty result, and without training rows every count is 0."""
+    words), score (log10 of the lattice's marginal probability: over all segmentations of every word into weighted
+    pieces, times that of the end) and mixed_score (log10; a token's discounted share of the training tokens as a
+    whole, plus the discounted mass spread over all strings by the lattice). A null or empty text is the end alone.
+    Repeated rows are scored each; an empty table gives an empty result, and without training rows every count is 0."""
     counts = materialize(count_words(docs, modulus, held), "words")
     n_docs = docs.where(id_crc_mod(col("doc_id"), modulus) != held).count()
     kinds, tokens = counts.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0))).first()
     tokens, kinds = tokens + n_docs, kinds + (n_docs > 0)
-    log_p = fit(counts, path)
-    shared = docs.sparkSession.sparkContext.broadcast(log_p)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(counts, path))
     base = lambda c: math.log10((c + 1) / (tokens + kinds + 1))
     freed = math.log10(DISCOUNT * kinds / tokens) if tokens else 0.0
-
-    def mixed(c: int, lattice: float) -> float:
-        """log10((c - DISCOUNT) / tokens + freed mass * lattice), for words without training only the latter."""
-        low = freed + lattice
-        if c == 0:
-            return low
-        high = math.log10((c - DISCOUNT) / tokens)
-        return high + math.log10(1 + 10 ** min(low - high, 300.0)) if low - high < 300 else low
+    # Texts end once, words never do: the end takes its add-one share, and every word the rest.
+    end = (n_docs + 1) / (tokens + 2)
+    end_lp, word_lp = math.log10(end), math.log10(1 - end)
 
     def weigh(batches):
         lattice = Lattice(vocabulary(path)[0], shared.value)
         for t in in_portions(batches):
-            found = lattice.scores(t.column(0).to_pylist()).tolist()
-            yield from t.append_column("lp", pa.array([mixed(c, x) for x, c in zip(found, t.column(1).to_pylist())], pa.float64())).to_batches()
-
-    weighed = materialize(counts.mapInArrow(weigh, "word string, c long, seen long, lp double"), "weights")
+            lp = lattice.scores(t.column(0).to_pylist()) + word_lp
+            c = t.column(1).to_numpy().astype(np.float64)
+            whole = np.log10(np.maximum(c - DISCOUNT, 1e-300) / max(tokens, 1))
+            low = freed + lp
+            high = np.maximum(whole, low)
+            mixed = np.where(c > 0, high + np.log10(10 ** (whole - high) + 10 ** (low - high)), low)
+            yield from t.append_column("lp", pa.array(lp)).append_column("mixed", pa.array(mixed)).to_batches()
+
+    weighed = materialize(counts.mapInArrow(weigh, "word string, c long, seen long, lp double, mixed double"), "weights")
     common = weighed.orderBy(F.desc("seen"), "word").limit(COMMON_WORDS)
-    top = {r["word"].encode(): (r["c"] > 0, base(r["c"]), r["lp"]) for r in common.select("word", "c", "lp").collect()}
+    top = {r["word"].encode(): (r["c"] > 0, base(r["c"]), r["lp"], r["mixed"]) for r in common.select("word", "c", "lp", "mixed").collect()}
     held_top = docs.sparkSession.sparkContext.broadcast(top)
     end_known, end_base = n_docs > 0, base(n_docs)
-    end_lp = math.log10(n_docs / tokens) if n_docs else 0.0
+    end_mixed = math.log10(n_docs / tokens) if n_docs else 0.0
 
     def rows(batches):
         top, at = held_top.value, TaskContext.get().partitionId() << 33
@@ -274,27 +301,28 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
             docs_, tails = [], []
             for doc_id, held_out, text in zip(*[c.to_pylist() for c in batch.columns]):
                 found = Counter(words_of(text))
-                n, known, b, lp = 1, int(end_known), end_base, end_lp
+                n, known, b, lp, mixed = 1, int(end_known), end_base, end_lp, end_mixed
                 for w, k in found.items():
                     n += k
                     if (t := top.get(w)) is not None:
                         known += k * t[0]
                         b += k * t[1]
                         lp += k * t[2]
+                        mixed += k * t[3]
                     else:
-                        tails.append((at, None, k, w.decode(), None, None, None))
-                docs_.append((at, held_out, n, None, known, b, lp, doc_id))
+                        tails.append((at, None, None, k, w.decode(), None, None, None, None))
+                docs_.append((at, doc_id, held_out, n, None, known, b, lp, mixed))
                 at += 1
-            out = [(r[0], r[7], r[1], r[2], None, r[4], r[5], r[6]) for r in docs_] + [(t[0], None, None, t[2], t[3], None, None, None) for t in tails]
-            names = ["row", "doc_id", "held_out", "n", "word", "known", "base", "lp"]
-            kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds_)], names=names)
+            names = ["row", "doc_id", "held_out", "n", "word", "known", "base", "lp", "mixed"]
+            kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs_, *tails), kinds_)], names=names)
 
     wanted = docs.select(col("doc_id").cast("long").alias("doc_id"), (id_crc_mod(col("doc_id"), modulus) == held).alias("held_out"), col("text").alias("text"))
-    parts = materialize(wanted.mapInArrow(rows, "row long, doc_id long, held_out boolean, n long, word string, known long, base double, lp double"), "parts")
-    tail = parts.where("word is not null").select("row", "word", "n").join(weighed.select("word", "c", "lp"), "word")
+    parts = materialize(wanted.mapInArrow(rows, "row long, doc_id long, held_out boolean, n long, word string, known long, base double, lp double, mixed double"), "parts")
+    tail = parts.where("word is not null").select("row", "word", "n").join(weighed.select("word", "c", "lp", "mixed"), "word")
     tail_base = F.log10((F.col("c") + 1) / F.lit(float(tokens + kinds + 1)))
-    tail = tail.select("row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * tail_base).alias("base"), (F.col("n") * F.col("lp")).alias("lp"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("long").alias("n"))
-    whole = parts.where("word is null").select("row", "known", "base", "lp", "doc_id", "held_out", "n").union(tail)
-    summed = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    times = lambda c: F.col("n") * c
+    tail = tail.select("row", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), times(tail_base).alias("base"), times(F.col("lp")).alias("lp"), times(F.col("mixed")).alias("mixed"))
+    whole = parts.where("word is null").select("row", "known", "base", "lp", "mixed", "doc_id", "held_out", "n").unionByName(tail, allowMissingColumns=True)
+    summed = whole.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"), F.sum("mixed").alias("mixed_score"))
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score", "mixed_score")
