@@ -94,23 +94,23 @@ def trigrams(query) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams, query[1]))
 
 
-def postings(docs: DataFrame, grams: set[str]) -> DataFrame:
-    """(gram, doc_id): the inverted index of the given trigrams over lower-cased texts."""
-    lower = F.lower(col("text"))
-    found = F.filter(F.array(*[F.lit(g) for g in sorted(grams)]), lambda g: F.contains(lower, g))
-    return docs.select(col("doc_id").alias("doc_id"), F.explode(found).alias("gram"))
+def postings(docs: DataFrame, key: Column, grams: set[str]) -> DataFrame:
+    """(gram, key): the inverted index of the given trigrams over lower-cased texts."""
+    lower = F.lower(col("text"))  # one expression that all searches share
+    found = F.array_compact(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(g)) for g in sorted(grams)]))
+    return docs.select(key.alias("key"), found.alias("found")).select("key", F.explode("found").alias("gram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
-    """(doc_id, c_<rule> boolean): whose postings fulfil which rule's query."""
+    """(key, c_<rule> boolean): whose postings fulfil which rule's query."""
 
     def holds(query) -> Column:
         if isinstance(query, str):
             return F.array_contains("grams", query)
         return reduce(lambda a, b: a & b if query[0] == "and" else a | b, map(holds, query[1]))
 
-    grouped = index.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    return grouped.select("doc_id", *[holds(q).alias(f"c_{k}") for k, q in queries.items()])
+    grouped = index.groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    return grouped.select("key", *[holds(q).alias(f"c_{k}") for k, q in queries.items()])
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -131,13 +131,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
     """record (struct of all input columns) and spans for every row of docs(doc_id, text, ...).
 
     spans is an array of (start, rank, kind, end), by start and then by rule; places are code points, ends exclusive.
-    A null text counts as empty and has no spans. Rows with equal or null ids share candidates, which only adds
-    texts to verify; each row is verified on its own text. An empty table gives an empty result."""
+    A null text counts as empty and has no spans. Rows are indexed by id and a hash of the text; rows that share both
+    share candidates, which only adds texts to verify: each row is verified on its own text. An empty table gives an empty result."""
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {k: q for k, q in queries.items() if q is not None}
-    wanted = candidates(postings(docs, set().union(*map(trigrams, asked.values()))), asked).withColumnRenamed("doc_id", "candidate_id")
-    rows = docs.select(col("doc_id").alias("id"), F.coalesce(col("text"), F.lit("")).alias("t"), F.struct(*[col(c) for c in docs.columns]).alias("record"))
-    joined = rows.join(wanted, F.col("id").eqNullSafe(F.col("candidate_id")), "left")
+    key = F.xxhash64(col("doc_id"), col("text"))  # null ids don't meet in one task
+    wanted = candidates(postings(docs, key, set().union(*map(trigrams, asked.values()))), asked)
+    rows = docs.select(key.alias("key"), F.coalesce(col("text"), F.lit("")).alias("t"), F.struct(*[col(c) for c in docs.columns]).alias("record"))
+    joined = rows.join(wanted, "key", "left")
     parts = []
     for i, rule in enumerate(rules):
         found = spans_of(F.col("t"), rule, i)
