@@ -10,10 +10,21 @@ from cinderlake.plans.stored import materialize, numbered
 
 #: Weights of the linear score and the selection threshold.
 WEIGHTS = {
-    "detection_match": 3.0, "same_user": 1.0, "same_host": 1.0, "same_source_ip": 1.0, "within_5_minutes": 1.0, "severity": 1.0, "rarity": 1.0,
-    "shared_technique": 0.5, "same_destination_ip": 0.5, "same_process": 0.5, "within_1_hour": 0.5, "cluster_has_detection": 0.5,
-    "same_account": 0.25, "number_of_shared_entities": 0.25,
-}
+    "detection_match": 3.0,
+    "shared_technique": 0.5,
+    "same_user": 1.0,
+    "same_host": 1.0,
+    "same_source_ip": 1.0,
+    "same_destination_ip": 0.5,
+    "same_process": 0.5,
+    "same_account": 0.25,
+    "number_of_shared_entities": 0.25,
+    "within_5_minutes": 1.0,
+    "within_1_hour": 0.5,
+    "severity": 1.0,
+    "rarity": 1.0,
+    "cluster_has_detection": 0.5,
+}
 SELECT_AT = 0.35
 #: Points of a severity, score bands, evidence points by time gap.
 SEVERITY_POINTS = {"informational": 0, "low": 5, "medium": 12, "high": 22, "critical": 30}
@@ -28,6 +39,11 @@ def rule_score(features: DataFrame) -> Column:
     return total / sum(WEIGHTS.values())
 
 
+def blend(score: Column, model: Column, weight: float = 0.5) -> Column:
+    """The rule score and a model's score, the latter with the given weight."""
+    return (1 - weight) * score + weight * model
+
+
 def ranked(scored: DataFrame) -> DataFrame:
     """scored(pos, t, score, has_detection) with a global rank (score descending, then time, then pos) and selected."""
     out = numbered(scored, [F.desc("score"), F.asc_nulls_last("t"), F.asc("pos")], "rank")
