@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlake import event_queries, registry, telemetry_queries  # noqa: F401  (importing registers)
+from cinderlake import context_queries, event_queries, registry, telemetry_queries  # noqa: F401  (importing registers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
