@@ -1,9 +1,12 @@
 """Near-duplicate vectors by the epsilon grid order join.
 
 Unit vectors whose cosine is at least c lie within eps = sqrt(2 - 2c) of each other. They are sorted by their cells of
-width eps on the leading principal dimensions (the epsilon grid order) and the sequence is cut into intervals. Two
-intervals are joined only if some of their cells touch and their bounding boxes on the leading dimensions aren't
-provably farther apart than eps; inside a pair, sub-intervals are skipped by the same test before cosines are computed.
+width eps on the leading principal dimensions (the epsilon grid order) and the sequence is cut into intervals. The
+sequence is joined with itself by recursion: a pair of stretches is dropped if their bounding boxes on the leading
+dimensions are provably farther apart than eps, and else falls into the pairs of its parts. Down to intervals this runs
+on the boxes alone, as a join a level; below, the vectors of a pair of tiles (TILE intervals each) meet in a task, which
+goes on in halves down to SUB vectors and then computes cosines. Where no leading dimension tells vectors apart, as for
+directions at random, nothing can be dropped and the work grows with the square of the vectors.
 """
 
 from __future__ import annotations
@@ -12,13 +15,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlake.llm.common import col, connected_components, materialize
+from cinderlake.llm.common import col, connected_components, join_hot, materialize, numbered
 
-#: Principal dimensions of the grid, of the bounding boxes, and rows of an interval and of a sub-interval.
-GRID_DIMS, BOX_DIMS, INTERVAL, SUB = 3, 16, 4096, 256
+#: Principal dimensions of the grid, of the bounding boxes, rows of an interval and of a sub-interval, parts of a
+#: stretch on the next level, and intervals of a tile.
+GRID_DIMS, BOX_DIMS, INTERVAL, SUB, FAN, TILE = 3, 16, 2048, 256, 8, 4
 
 
 def unit(rows) -> np.ndarray:
@@ -44,7 +49,9 @@ def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
 
 
 def intervals(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """One row per interval of the grid order: its vectors, its box and the cells that it meets."""
+    """One row per interval of the grid order: its vectors, their numbers, and its box; `at` puts intervals in order.
+
+    Components go as 32-bit floats where that changes none of them."""
     grid, box = min(GRID_DIMS, axes.shape[1]), min(BOX_DIMS, axes.shape[1])
 
     def place(batches):
@@ -55,14 +62,16 @@ def intervals(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(order), *batch.columns], names=["cell", "rep", "v", "copies"])
 
     def cut(batches):
-        held = []
+        held, at = [], TaskContext.get().partitionId() << 32
 
         def interval():
-            cell, rep, rows, copies = zip(*held)
+            _, rep, rows, copies = zip(*held)
             p = unit(rows) @ axes[:, :box]
-            data = np.asarray(rows, dtype=np.float64).tobytes()
-            lists = [pa.array([list(x)], k) for x, k in ((sorted(set(cell)), pa.list_(pa.int64())), (rep, pa.list_(pa.int64())), (copies, pa.list_(pa.int64())), (p.min(axis=0), pa.list_(pa.float64())), (p.max(axis=0), pa.list_(pa.float64())))]
-            return pa.RecordBatch.from_arrays([pa.array([min(rep)]), *lists[:3], pa.array([data], pa.binary()), *lists[3:]], names=["block", "cells", "reps", "copies", "data", "lo", "hi"])
+            data = np.asarray(rows, dtype=np.float64)
+            short = data.astype(np.float32)
+            data = short if (short == data).all() else data
+            lists = [pa.array([list(x)], k) for x, k in ((rep, pa.list_(pa.int64())), (copies, pa.list_(pa.int64())), (p.min(axis=0), pa.list_(pa.float64())), (p.max(axis=0), pa.list_(pa.float64())))]
+            return pa.RecordBatch.from_arrays([pa.array([at]), *lists[:2], pa.array([data.tobytes()], pa.binary()), *lists[2:]], names=["at", "reps", "copies", "data", "lo", "hi"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -70,12 +79,13 @@ def intervals(vectors: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
                 if len(held) == INTERVAL:
                     yield interval()
                     held.clear()
+                    at += 1
         if held:
             yield interval()
 
     placed = vectors.select("rep", "v", "copies").mapInArrow(place, "cell long, rep long, v array<double>, copies long")
     ordered = placed.repartitionByRange("cell", "rep").sortWithinPartitions("cell", "rep")
-    return ordered.mapInArrow(cut, "block long, cells array<long>, reps array<long>, copies array<long>, data binary, lo array<double>, hi array<double>")
+    return ordered.mapInArrow(cut, "at long, reps array<long>, copies array<long>, data binary, lo array<double>, hi array<double>")
 
 
 def gap2(lo_a, hi_a, lo_b, hi_b) -> float:
@@ -98,32 +108,48 @@ def components_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def join_pair(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, eps: float, least: float, weight_a: np.ndarray, weight_b: np.ndarray):
-    """Weights of linked vectors for each row of a and b, and links enough to connect what is linked."""
+    """Weights of linked vectors for each row of a and b, and links enough to connect what is linked.
+
+    Recursive: stretches whose boxes are farther apart than eps are skipped, others halved down to SUB rows."""
     pa_, pb = a @ axes, b @ axes
     count_a, count_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
-    links = []
-    for i in range(0, len(a), SUB):
-        x, px = a[i : i + SUB], pa_[i : i + SUB]
-        left, right = [], []
-        for j in range(i if same else 0, len(b), SUB):
-            y, py = b[j : j + SUB], pb[j : j + SUB]
-            if gap2(px.min(axis=0), px.max(axis=0), py.min(axis=0), py.max(axis=0)) > eps * eps:
-                continue
-            near = x @ y.T >= least
-            if same and i == j:
-                near = np.triu(near, 1)
-            r, c = np.nonzero(near)
-            if len(r):
-                np.add.at(count_a, i + r, weight_b[j + c])
-                np.add.at(count_b, j + c, weight_a[i + r])
-                left.append(i + r)
-                right.append(j + c)
-        if left:
-            r, c = np.concatenate(left), np.concatenate(right) + (0 if same else len(a))
-            nodes, at = np.unique(np.concatenate([r, c]), return_inverse=True)
+    links, shift = [], 0 if same else len(a)
+
+    def compare(i, j, k, m):
+        near = a[i:j] @ b[k:m].T >= least
+        if same and i == k:
+            near = np.triu(near, 1)
+        r, c = np.nonzero(near)
+        if len(r):
+            np.add.at(count_a, i + r, weight_b[k + c])
+            np.add.at(count_b, k + c, weight_a[i + r])
+            nodes, at = np.unique(np.concatenate([i + r, k + c + shift]), return_inverse=True)
             label = components_of(at[: len(r)], at[len(r) :], len(nodes))
             keep = label != np.arange(len(nodes))
             links.append(np.stack([nodes[keep], nodes[label[keep]]], axis=1))
+
+    def join(i, j, k, m):
+        """Rows i to j of a with rows k to m of b; of one sequence with itself only pairs in order."""
+        x, y = pa_[i:j], pb[k:m]
+        if gap2(x.min(axis=0), x.max(axis=0), y.min(axis=0), y.max(axis=0)) > eps * eps:
+            return
+        if j - i <= SUB and m - k <= SUB:
+            compare(i, j, k, m)
+        elif same and i == k:
+            h = (i + j) // 2
+            join(i, h, i, h)
+            join(i, h, h, j)
+            join(h, j, h, j)
+        elif j - i >= m - k:
+            h = (i + j) // 2
+            join(i, h, k, m)
+            join(h, j, k, m)
+        else:
+            h = (k + m) // 2
+            join(i, j, k, h)
+            join(i, j, h, m)
+
+    join(0, len(a), 0, len(b))
     return count_a, count_b, np.concatenate(links) if links else np.zeros((0, 2), dtype=np.int64)
 
 
@@ -139,8 +165,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     raw = vectors.select(col("vec_id").cast("long").alias("vec_id"), col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = raw.withColumn("v", F.when(valid, F.col("v")))
-    classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    rows = raw.withColumn("v", F.when(valid, F.col("v"))).withColumn("w", F.md5(F.array_join(F.col("v").cast("array<string>"), ",")))
+    classes = rows.where("v is not null").groupBy("w").agg(F.first("v").alias("v"), F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     # Numbers of vectors, fixed by being written; ids may be null or repeated.
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
     counts, edges = [], []
@@ -155,9 +181,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     linked = _union(counts).groupBy("a").agg(F.sum("n").alias("n"))
     component = connected_components(_union(edges))
     info = classes.join(linked, classes["rep"] == linked["a"], "left").join(component, classes["rep"] == component["node"], "left")
-    info = info.select(F.col("v").alias("w"), "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    info = info.join(info.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("w", "n_links", "component_id")
-    out = rows.join(info, F.col("v") == F.col("w"), "left")
+    info = info.select("w", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    info = materialize(info, "classes")
+    lowest = info.groupBy("c").agg(F.min("low").alias("component_id"))
+    named = materialize(join_hot(info, lowest, "c").select("w", "n_links", "component_id"), "named")
+    out = join_hot(rows.select("vec_id", "w"), named, "w", how="left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"))
 
@@ -169,34 +197,51 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def touching(blocks: DataFrame, eps: float, n: int, dims: int) -> DataFrame:
+    """(a, b): pairs of intervals of blocks(block from 0 to n - 1, lo, hi) whose boxes may lie within eps, a <= b.
+
+    The recursion goes from one stretch that holds all intervals down by levels of FAN parts each."""
+    levels = [blocks.select("block", "lo", "hi")]
+    while FAN ** (len(levels) - 1) < n:
+        edge = lambda f, name: F.array(*[f(F.col(name)[i]) for i in range(dims)]).alias(name)
+        levels.append(levels[-1].groupBy(F.expr(f"block div {FAN}").alias("block")).agg(edge(F.min, "lo"), edge(F.max, "hi")))
+    apart = F.aggregate(F.zip_with(F.zip_with("lo", "hi2", lambda a, b: a - b), F.zip_with("lo2", "hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda t, x: t + x * x)
+    pairs = levels[-1].select(F.col("block").alias("a"), F.col("block").alias("b"))
+    for level in levels[-2::-1]:
+        left = level.select(F.expr(f"block div {FAN}").alias("a"), F.col("block").alias("x"), "lo", "hi")
+        right = level.select(F.expr(f"block div {FAN}").alias("b"), F.col("block").alias("y"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        pairs = pairs.join(left, "a").join(right, "b").where((F.col("x") <= F.col("y")) & (apart <= eps * eps)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return pairs
+
+
 def _links(vectors: DataFrame, axes: np.ndarray, eps: float, least: float) -> DataFrame:
     """Rows (a, n, null): n more vectors link with a; rows (a, null, b): a and b are connected."""
-    blocks = materialize(intervals(vectors, axes, eps), "intervals")
-    grid, box = min(GRID_DIMS, axes.shape[1]), min(BOX_DIMS, axes.shape[1])
-    steps = [sum(d * 128**k for k, d in enumerate(ds)) for ds in np.ndindex(*[3] * grid)]
-    offset = sum(128**k for k in range(grid))
-    light = blocks.select("block", F.explode("cells").alias("cell"), "lo", "hi")
-    around = light.select(F.col("block").alias("other"), F.explode(F.transform(F.array(*[F.lit(int(s - offset)) for s in steps]), lambda s: F.col("cell") + s)).alias("cell"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    apart = F.aggregate(F.zip_with(F.zip_with("lo", "hi2", lambda a, b: a - b), F.zip_with("lo2", "hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda t, x: t + x * x)
-    pairs = light.join(around, "cell").where((F.col("block") <= F.col("other")) & (apart <= eps * eps)).select("block", "other").distinct()
-    body = blocks.select("block", "reps", "copies", "data")
-    other = body.toDF("other", "reps2", "copies2", "data2")
-    jobs = pairs.join(body, "block").join(other, "other").select("block", "other", "reps", "copies", "data", "reps2", "copies2", "data2")
+    cut = materialize(intervals(vectors, axes, eps), "intervals")
+    box = min(BOX_DIMS, axes.shape[1])
+    order = numbered(cut.select("at"), [F.asc("at")], "block").select("at", (F.col("block") - 1).alias("block"))
+    blocks = materialize(cut.join(order, "at").drop("at"), "blocks")
+    pairs = touching(blocks, eps, blocks.count(), box)
+    tile = lambda c: F.expr(f"{c} div {TILE}")
+    wanted = pairs.select(tile("a").alias("one"), tile("b").alias("two"), F.explode(F.array("a", "b")).alias("block")).distinct()
+    jobs = wanted.join(blocks.select("block", "reps", "copies", "data"), "block")
     size, lead = axes.shape[0], axes[:, :box]
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                same = row["block"] == row["other"]
-                a = unit(np.frombuffer(row["data"]).reshape(-1, size))
-                b = a if same else unit(np.frombuffer(row["data2"]).reshape(-1, size))
-                ids = np.concatenate([row["reps"], [] if same else row["reps2"]]).astype(np.int64)
-                wa, wb = np.asarray(row["copies"], dtype=np.int64), np.asarray(row["copies2"], dtype=np.int64)
-                ca, cb, links = join_pair(a, b, same, lead, eps, least, wa, wb)
-                n = ca + cb if same else np.concatenate([ca, cb])
-                hit = np.flatnonzero(n)
-                none = [None] * len(links)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[hit], ids[links[:, 0]]])), pa.array([*n[hit].tolist(), *none], pa.int64()), pa.array([*[None] * len(hit), *ids[links[:, 1]].tolist()], pa.int64())], names=["a", "n", "b"])
-
-    # One job a batch: a batch holds the vectors of its intervals.
-    return materialize(jobs.repartition("block", "other").mapInArrow(run, "a long, n long, b long"), "links")
+    def run(table: pa.Table) -> pa.Table:
+        one, two = table["one"][0].as_py(), table["two"][0].as_py()
+        rows = sorted(zip(*[table[c].to_pylist() for c in ("block", "reps", "copies", "data")]))
+
+        def side(tile):
+            mine = [r for r in rows if r[0] // TILE == tile]
+            parts = [np.frombuffer(d, dtype=np.float32 if len(d) == 4 * size * len(reps) else np.float64).reshape(-1, size) for _, reps, _, d in mine]
+            return unit(np.concatenate(parts)), np.concatenate([r[1] for r in mine]).astype(np.int64), np.concatenate([r[2] for r in mine]).astype(np.int64)
+
+        a, ids, wa = side(one)
+        b, other, wb = (a, ids, wa) if one == two else side(two)
+        ca, cb, links = join_pair(a, b, one == two, lead, eps, least, wa, wb)
+        n = ca + cb if one == two else np.concatenate([ca, cb])
+        ids = ids if one == two else np.concatenate([ids, other])
+        hit = np.flatnonzero(n)
+        none = [None] * len(links)
+        return pa.table({"a": pa.array(np.concatenate([ids[hit], ids[links[:, 0]]])), "n": pa.array([*n[hit].tolist(), *none], pa.int64()), "b": pa.array([*[None] * len(hit), *ids[links[:, 1]].tolist()], pa.int64())})
+
+    return materialize(jobs.groupBy("one", "two").applyInArrow(run, "a long, n long, b long"), "links")
