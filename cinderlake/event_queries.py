@@ -303,10 +303,11 @@ def severity_histogram(spark, sf_dir):
     return levels.join(counted, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@twin(f"WITH {ENT}, seeds AS (SELECT DISTINCT entity FROM ent WHERE seed AND entity LIKE 'U:%' AND t < 1704200000000000) SELECT event_type, count(*) AS n FROM ev WHERE ('U:' || user_id) NOT IN (SELECT entity FROM seeds) GROUP BY event_type")
+@twin(f"WITH {EV} SELECT event_type, count(*) AS n FROM ev WHERE user_id NOT IN (SELECT user_id FROM ev WHERE seed AND severity = 4) GROUP BY event_type")
 def excluded_by_category(spark, sf_dir):
+    """Events of users without a detection of the highest severity, by type; all detections of the table count."""
     rows = events(spark, sf_dir)
-    relevant = rows.where("seed and t < 1704200000000000").select("user_id").distinct()
+    relevant = rows.where("seed and severity = 4").select("user_id").distinct()
     return rows.join(relevant, "user_id", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -481,12 +482,12 @@ def signature_alerts(spark, sf_dir):
     return R.alerts(_signature_rows(spark, sf_dir)).select("alert_id", "event_id", "rule_id", "severity", "detail")
 
 
-@twin(f"""WITH {EV}, a AS (SELECT user_id, CASE WHEN event_type = 'view' THEN 'CLOUD-LOG-001' WHEN event_type = 'error' AND NOT value > 50 THEN 'CLOUD-AUTH-001' WHEN event_type = 'signup' AND k % 2 = 0 THEN 'CLOUD-IAM-003' END AS rule_id, t FROM ev)
-  SELECT user_id, count(*) AS n_alerts, count(DISTINCT rule_id) AS n_rules, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, CASE WHEN count(*) FILTER (rule_id = 'CLOUD-LOG-001') > 0 THEN 'critical' ELSE 'high' END AS severity, min(t) AS first_t FROM a WHERE rule_id IS NOT NULL GROUP BY user_id""")
+@twin(f"""WITH {EV}, a AS ({twins["signature_alerts"]}), j AS (SELECT user_id, t, rule_id, a.severity, ['low', 'medium', 'high', 'critical'] AS levels FROM a JOIN ev ON CAST(ev.pos AS VARCHAR) = a.event_id)
+  SELECT user_id, count(*) AS n_alerts, count(DISTINCT rule_id) AS n_rules, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rules, arg_max(severity, list_position(levels, severity)) AS severity, min(t) AS first_t FROM j GROUP BY user_id""")
 def alert_view(spark, sf_dir):
-    """Alerts of the log-in, key and log rules by account: rules, highest severity, first evidence."""
+    """Alerts of all row rules by account: rules, highest severity, first evidence."""
     rows = events(spark, sf_dir).select(F.col("pos").cast("string").alias("event_id"), "user_id", "t")
-    found = R.alerts(_signature_rows(spark, sf_dir)).where(F.col("rule_id").isin("CLOUD-LOG-001", "CLOUD-AUTH-001", "CLOUD-IAM-003"))
+    found = R.alerts(_signature_rows(spark, sf_dir))
     rank = F.array_position(F.array(*map(F.lit, E.SEVERITY_POINTS)), F.col("severity"))
     return found.join(rows, "event_id").groupBy("user_id").agg(
         F.count("*").alias("n_alerts"), F.countDistinct("rule_id").alias("n_rules"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), F.max_by("severity", rank).alias("severity"), F.min("t").alias("first_t"),
