@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 
 
-def join_hot(rows: DataFrame, unique: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, unique: DataFrame, *keys: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined (inner or left) with `unique`, which has one row a key at most; a hot key's rows stay where they are.
 
     The HOT_KEYS most frequent keys of rows are found by a partial aggregate; their rows meet a broadcast of at most
     HOT_KEYS rows. Only the rest is dealt by key. rows and unique are read twice, so both should be cheap to read.
-    Null keys match nothing."""
+    counts(keys, n), if the rows of the keys have been counted already, spares another count. Null keys match nothing."""
     names = list(keys)
-    hot = rows.where(" and ".join(f"{k} is not null" for k in names)).groupBy(*names).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), *names).limit(HOT_KEYS).select(*names, F.lit(True).alias("_hot"))
+    if counts is None:
+        counts = rows.where(" and ".join(f"{k} is not null" for k in names)).groupBy(*names).agg(F.count("*").alias("n"))
+    hot = counts.orderBy(F.desc("n"), *names).limit(HOT_KEYS).select(*names, F.lit(True).alias("_hot"))
     marked = rows.join(F.broadcast(hot), names, "left")
     hottest = F.broadcast(unique.join(F.broadcast(hot.select(*names)), names, "left_semi"))
     near = marked.where("_hot").drop("_hot").join(hottest, names, how)
