@@ -214,10 +214,12 @@ def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "h", "seg", "start", "windows"])
 
     every = materialize(texts.select("key", "t").mapInArrow(anchors, SEGMENT), "segments")
-    # One row a distinct segment before anything is dealt by anchor.
-    kinds = materialize(every.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("one")), "kinds")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = join_hot(kinds, mixed, "h").select("h", "seg", "kinds", "one.*")
+    # Rows of hot anchors and of hot segments stay where they are; the others are dealt.
+    again = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    open_ = materialize(join_hot(every, again.select("h"), "h", counts=again), "shared")
+    kinds = materialize(open_.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("key", "start", "windows")).alias("one")), "kinds")
+    mixed = materialize(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    wanted = join_hot(kinds, mixed, "h", counts=mixed.withColumnRenamed("kinds", "n")).select("h", "seg", "kinds", "one.*")
     asked = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "seg", "kinds", "start", "windows")).alias("asked"))
 
     def bodies(batches):
@@ -267,7 +269,7 @@ def mark(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     whole = kinds.where("n > 1").select("h", "seg", F.lit(True).alias("whole"))
     hit = materialize(marks.join(whole, ["h", "seg"], "full"), "hits")
     # One join gives every segment its repeated starts, wherever it stands.
-    spans = join_hot(every, hit, "h", "seg").select("key", F.when(F.col("whole"), F.array(F.array(F.col("start").cast("long"), F.col("windows").cast("long")))).otherwise(F.transform("starts", lambda r: F.array(F.col("start") + r[0], r[1]))).alias("r"))
+    spans = join_hot(open_, hit, "h", "seg", counts=kinds).select("key", F.when(F.col("whole"), F.array(F.array(F.col("start").cast("long"), F.col("windows").cast("long")))).otherwise(F.transform("starts", lambda r: F.array(F.col("start") + r[0], r[1]))).alias("r"))
     spans = spans.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("starts"))
 
     def merge(batches):
