@@ -6,7 +6,6 @@ import json
 import re
 
 from cinderlake import catalog
-from cinderlake.llm import embed_dedup
 from cinderlake.operators import evidence, graph, windows
 
 
@@ -33,13 +32,6 @@ def test_account_alerts(spark, tmp_path):
     assert {u: (r.n_alerts, r.rules, r.incidents) for u, r in found.items()} == {1: (1, "CLOUD-NET-002", ""), 2: (1, "CLOUD-NET-001", ""), 3: (3, "CLOUD-AUTH-001", "6")}
 
 
-def test_embeddings_null_and_repeated_ids(spark):
-    """A vector without ids still links; different vectors of one id have links of their own."""
-    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.02]), (7, [0.0, 1.0]), (7, [-1.0, 0.0]), (8, [0.01, 1.0])]
-    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in found) == [(0, 2, 1, None), (1, 2, 1, True), (2, 2, 1, False), (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False)]
-
-
 def plan_of(df):
     with contextlib.redirect_stdout(out := io.StringIO()):
         df.explain("extended")
