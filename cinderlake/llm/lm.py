@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter, deque
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -208,23 +209,21 @@ def count_words(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     """(word, c, seen): occurrences in training documents and in all, of every distinct word of docs."""
 
     def run(batches):
-        all_, train = Counter(), Counter()
+        train, rest = Counter(), Counter()
 
         def flush():
-            keys = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys], pa.string()), pa.array([train[k] for k in keys], pa.int64()), pa.array([all_[k] for k in keys], pa.int64())], names=["word", "c", "seen"])
-            all_.clear()
+            keys = [*train, *(w for w in rest if w not in train)]
+            c, seen = [train[w] for w in keys], [train[w] + rest[w] for w in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in keys], pa.string()), pa.array(c, pa.int64()), pa.array(seen, pa.int64())], names=["word", "c", "seen"])
             train.clear()
+            rest.clear()
 
         for batch in batches:
             for held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = Counter(words_of(text))
-                all_.update(found)
-                if not held_out:
-                    train.update(found)
-            if len(all_) > FLUSH_WORDS:
+                (rest if held_out else train).update(words_of(text))
+            if len(train) + len(rest) > FLUSH_WORDS:
                 yield from flush()
-        if all_:
+        if train or rest:
             yield from flush()
 
     part = docs.select((id_crc_mod(col("doc_id"), modulus) == held).alias("h"), col("text").alias("text")).mapInArrow(run, "word string, c long, seen long")
@@ -290,31 +289,26 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
 
     weighed = materialize(counts.mapInArrow(weigh, "word string, c long, seen long, lp double, mixed double"), "weights")
     common = weighed.orderBy(F.desc("seen"), "word").limit(COMMON_WORDS)
-    top = {r["word"].encode(): (r["c"] > 0, base(r["c"]), r["lp"], r["mixed"]) for r in common.select("word", "c", "lp", "mixed").collect()}
-    held_top = docs.sparkSession.sparkContext.broadcast(top)
+    top = common.select("word", "c", "lp", "mixed").collect()
+    figures = np.array([(r["c"] > 0, base(r["c"]), r["lp"], r["mixed"]) for r in top], dtype=np.float64).reshape(-1, 4)
+    held_top = docs.sparkSession.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(top)}, figures))
     end_known, end_base = n_docs > 0, base(n_docs)
     end_mixed = math.log10(n_docs / tokens) if n_docs else 0.0
 
     def rows(batches):
-        top, at = held_top.value, TaskContext.get().partitionId() << 33
+        place, figures = held_top.value
+        ends, at = np.array([float(end_known), end_base, end_lp, end_mixed]), TaskContext.get().partitionId() << 33
+        names = ["row", "doc_id", "held_out", "n", "word", "known", "base", "lp", "mixed"]
+        kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 3]
         for batch in batches:
             docs_, tails = [], []
             for doc_id, held_out, text in zip(*[c.to_pylist() for c in batch.columns]):
-                found = Counter(words_of(text))
-                n, known, b, lp, mixed = 1, int(end_known), end_base, end_lp, end_mixed
-                for w, k in found.items():
-                    n += k
-                    if (t := top.get(w)) is not None:
-                        known += k * t[0]
-                        b += k * t[1]
-                        lp += k * t[2]
-                        mixed += k * t[3]
-                    else:
-                        tails.append((at, None, None, k, w.decode(), None, None, None, None))
-                docs_.append((at, doc_id, held_out, n, None, known, b, lp, mixed))
+                tokens_ = words_of(text)
+                found = np.fromiter(map(place.get, tokens_, repeat(-1)), np.int64, len(tokens_))
+                tails += [(at, None, None, k, w.decode(), None, None, None, None) for w, k in Counter(compress(tokens_, found < 0)).items()]
+                known, *sums = (figures[found[found >= 0]].sum(axis=0) + ends).tolist()
+                docs_.append((at, doc_id, held_out, len(tokens_) + 1, None, int(known), *sums))
                 at += 1
-            names = ["row", "doc_id", "held_out", "n", "word", "known", "base", "lp", "mixed"]
-            kinds_ = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), *[pa.float64()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*docs_, *tails), kinds_)], names=names)
 
     wanted = docs.select(col("doc_id").cast("long").alias("doc_id"), (id_crc_mod(col("doc_id"), modulus) == held).alias("held_out"), col("text").alias("text"))
