@@ -16,14 +16,14 @@ from itertools import compress, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.llm.common import col, id_crc_mod, materialize
 
 MARK = "▁"
-#: The most frequent words, by count and then by word, whose figures every task holds: a fixed bound. All other words
-#: are looked up by a join.
+#: At most so many of the most frequent words have their figures held by every task: a fixed bound. All other words are
+#: looked up by a join.
 COMMON_WORDS = 65_536
 EM_ROUNDS = 2
 #: Taken off every training count and given to the lattice, in the way of absolute discounting.
@@ -257,6 +257,24 @@ def fit(counts: DataFrame, path: str, rounds: int = EM_ROUNDS) -> list[float]:
     return log_p
 
 
+def steps(count: Column) -> Column:
+    """A count's place on a scale of sixteen steps for each doubling, so that all counts take about a thousand places."""
+    return F.floor(F.log2(count) * 16)
+
+
+def least_step(counts: DataFrame, most: int) -> int:
+    """The lowest step from which on at most so many words lie; words of one step go in together or not at all.
+
+    Only numbers of words by step reach the driver, whatever the number of partitions."""
+    least, inside = 1 << 20, 0
+    for r in counts.groupBy(steps(F.col("seen")).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        inside += r["n"]
+        if inside > most:
+            break
+        least = r["step"]
+    return least
+
+
 def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFrame:
     """One row per row of docs(doc_id, text, ...), learnt from those whose crc32(doc_id) mod modulus isn't held.
 
@@ -288,7 +306,7 @@ def score(docs: DataFrame, path: str, modulus: int = 7, held: int = 2) -> DataFr
             yield from t.append_column("lp", pa.array(lp)).append_column("mixed", pa.array(mixed)).to_batches()
 
     weighed = materialize(counts.mapInArrow(weigh, "word string, c long, seen long, lp double, mixed double"), "weights")
-    common = weighed.orderBy(F.desc("seen"), "word").limit(COMMON_WORDS)
+    common = weighed.where(steps(F.col("seen")) >= least_step(weighed, COMMON_WORDS))
     top = common.select("word", "c", "lp", "mixed").collect()
     figures = np.array([(r["c"] > 0, base(r["c"]), r["lp"], r["mixed"]) for r in top], dtype=np.float64).reshape(-1, 4)
     held_top = docs.sparkSession.sparkContext.broadcast(({r["word"].encode(): i for i, r in enumerate(top)}, figures))
