@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.plans.buckets import looking_back
 from cinderlake.plans.hot import join_hot
 from cinderlake.plans.stored import materialize
 
@@ -84,11 +85,13 @@ def event_entities(events: DataFrame) -> DataFrame:
 def link_edges(entities: DataFrame, seconds: int = LINK_SECONDS, k: int = NEIGHBOURS) -> DataFrame:
     """(entity, src, dst): each event with its k latest predecessors on an entity within the time.
 
-    One edge per shared entity, so two events that share two entities have two edges."""
-    w = Window.partitionBy("entity").orderBy("t", "pos")
+    One edge per shared entity, so two events that share two entities have two edges. Events without time have none."""
+    span = seconds * 1_000_000
+    w = Window.partitionBy("entity", "bucket").orderBy("t", "pos")
     before = F.array(*[F.struct(F.lag("t", i).over(w).alias("t"), F.lag("pos", i).over(w).alias("pos")) for i in range(1, k + 1)])
-    found = entities.withColumn("before", before).select("entity", "pos", "t", F.explode("before").alias("p"))
-    return found.where(F.col("t") - F.col("p.t") <= seconds * 1_000_000).select("entity", F.col("p.pos").alias("src"), F.col("pos").alias("dst"))
+    found = looking_back(entities.where("t is not null"), span).withColumn("before", before).where("own")
+    linked = found.select("entity", "pos", "t", F.explode("before").alias("p"))
+    return linked.where(F.col("t") - F.col("p.t") <= span).select("entity", F.col("p.pos").alias("src"), F.col("pos").alias("dst"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

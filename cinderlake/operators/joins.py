@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.plans import buckets
+from cinderlake.plans.buckets import bucket_of, carried, same_bucket
+
 DAY = 86_400
 
 
@@ -14,10 +17,14 @@ def nearest_seed(entities: DataFrame, seeds: DataFrame) -> DataFrame:
     Of equally near seeds the least position wins; earlier seeds of one time give their largest position, later ones
     their smallest. A seed is its own reference."""
     marked = entities.join(seeds.select("pos", F.lit(True).alias("seed")), "pos", "left").withColumn("s", F.when(F.col("seed"), F.struct("t", "pos")))
-    w = Window.partitionBy("entity").orderBy("t")
-    before = F.max("s").over(w.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.min("s").over(w.rangeBetween(0, Window.unboundedFollowing))
-    near = marked.select("pos", "t", "seed", before.alias("before"), after.alias("after"))
+    marked = marked.withColumn("bucket", bucket_of(F.col("t"), buckets.DAY))
+    w = Window.partitionBy("entity", "bucket")
+    # Times in descending order turn "from here on" into a running minimum.
+    before = F.max("s").over(w.orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
+    after = F.min("s").over(w.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
+    ends = carried(marked, "entity", {"greatest": F.max("s"), "least": F.min("s")}, {"earlier": (F.max("greatest"), "before"), "later": (F.min("least"), "after")})
+    here = marked.select("pos", "t", "seed", "entity", "bucket", before.alias("before"), after.alias("after"))
+    near = here.join(ends, same_bucket("entity"), "left").select("pos", "t", "seed", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
     way = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("distance"), F.col(f"{c}.pos").alias("ref")))
     own = F.when(F.col("seed"), F.struct(F.lit(0).cast("long").alias("distance"), F.col("pos").alias("ref")))
     best = F.coalesce(own, F.least(way("before"), way("after")))
