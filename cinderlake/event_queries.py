@@ -252,7 +252,7 @@ _INCIDENTS = _ALERTS + """, both_ AS (SELECT a, b FROM links UNION SELECT b, a F
 @twin(f"WITH RECURSIVE {_INCIDENTS} SELECT * FROM incidents")
 def incidents(spark, sf_dir):
     alerts = _alerts(spark, sf_dir)
-    return E.incidents(alerts, E.alert_links(alerts))
+    return E.incidents(alerts, E.connecting_links(alerts))
 
 
 @twin(f"""WITH RECURSIVE {_INCIDENTS}, p AS (SELECT incident, [0, 5, 12, 22, 30][severity_rank + 1] AS sev, CAST(LEAST(16, 4 * (n_alerts - 1)) AS INTEGER) AS extra, CASE WHEN n_events >= 10 THEN 10 ELSE 0 END AS wide FROM incidents),
@@ -505,7 +505,7 @@ def account_alerts(spark, sf_dir):
     found = R.alerts(_signature_rows(spark, sf_dir))
     alerts = _alerts(spark, sf_dir)
     # Alerts that cite an event are linked by it, so an event has one incident at most.
-    owners = E.owned(alerts, E.alert_links(alerts)).select(F.explode("keys").alias("pos"), "incident").distinct()
+    owners = E.owned(alerts, E.connecting_links(alerts)).select(F.explode("keys").alias("pos"), "incident").distinct()
     rank = F.array_position(F.array(*map(F.lit, E.SEVERITY_POINTS)), F.col("severity"))
     return found.join(rows, "event_id").join(owners, "pos", "left").groupBy("user_id").agg(
         F.count("*").alias("n_alerts"), F.countDistinct("rule_id").alias("n_rules"), F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rules"), F.max_by("severity", rank).alias("severity"), F.min("t").alias("first_t"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.operators.graph import connected_components
+from cinderlake.plans.buckets import DAY, bucket_of, carried, same_bucket
 from cinderlake.plans.stored import materialize, numbered
 
 #: Weights of the linear score and the selection threshold.
@@ -69,13 +70,28 @@ def evidence_objects(selected: DataFrame, keys: list[str], least: int = 3, shown
 def alert_links(alerts: DataFrame, seconds: int = 4 * 3600) -> DataFrame:
     """(a, b): alerts that share a link key (an entity or an evidence event) and whose spans are at most so far apart.
 
-    alerts(alert, first_t, last_t, keys array)."""
-    keyed = alerts.select("alert", "first_t", "last_t", F.explode(F.array_distinct("keys")).alias("key"))
+    alerts(alert, first_t, last_t, keys array). All pairs, so for reports; connecting_links is for grouping.
+    Alerts without a span have no links."""
+    keyed = alerts.where("first_t is not null and last_t is not null").select("alert", "first_t", "last_t", F.explode(F.array_distinct("keys")).alias("key"))
     other = keyed.toDF("alert2", "first2", "last2", "key")
     gap = F.greatest(F.lit(0).cast("long"), F.col("first2") - F.col("last_t"), F.col("first_t") - F.col("last2"))
     return keyed.join(other, "key").where((F.col("alert") < F.col("alert2")) & (gap <= seconds * 1_000_000)).select(F.col("alert").alias("a"), F.col("alert2").alias("b")).distinct()
 
 
+def connecting_links(alerts: DataFrame, seconds: int = 4 * 3600) -> DataFrame:
+    """(a, b): some of the links of alert_links, enough to connect what they connect, and at most one per alert and key.
+
+    Of a key's alerts in time order, each links with the one before that lasts longest: what any earlier one reaches,
+    that one reaches. The longest of former days is carried to each day, so a hot key is many tasks."""
+    keyed = alerts.where("first_t is not null and last_t is not null").select("alert", "first_t", "last_t", F.explode(F.array_distinct("keys")).alias("key")).where("key is not null")
+    keyed = keyed.withColumn("bucket", bucket_of(F.col("first_t"), DAY)).withColumn("s", F.struct("last_t", "alert"))
+    earlier = carried(keyed, "key", {"longest": F.max("s")}, {"earlier": (F.max("longest"), "before")})
+    here = F.max("s").over(Window.partitionBy("key", "bucket").orderBy("first_t", "alert").rowsBetween(Window.unboundedPreceding, -1))
+    longest = keyed.withColumn("here", here).join(earlier, same_bucket("key"), "left").withColumn("p", F.greatest("here", "earlier"))
+    near = longest.where(F.col("first_t") - F.col("p.last_t") <= seconds * 1_000_000)
+    return near.select(F.least("alert", "p.alert").alias("a"), F.greatest("alert", "p.alert").alias("b")).where("a < b").distinct()
+
+
 def owned(alerts: DataFrame, links: DataFrame) -> DataFrame:
     """alerts with the incident of each: the smallest alert that links lead to."""
     found = connected_components(links)

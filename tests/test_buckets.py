@@ -2,7 +2,7 @@
 
 import random
 
-from cinderlake.operators import graph, joins, windows
+from cinderlake.operators import evidence, graph, joins, windows
 
 SECOND = 1_000_000
 
@@ -77,3 +77,15 @@ def test_transitions_and_chains(spark):
     assert {r.pos: r.changed for r in windows.transitions(df, ["d"]).collect()} == changed
     got = [[r.key, r.d, r.n, r.first_pos, r.last_pos] for r in windows.chain(df, "d").collect()]
     assert sorted(got, key=repr) == sorted(runs, key=repr)
+
+
+def test_connecting_links(spark):
+    """The few links connect the same alerts as all links do, over days, and are no more than alerts and keys."""
+    rng = random.Random(6)
+    rows = [(i, s, s + rng.choice([0, 600, 90_000]) * SECOND, ["hot"] if i % 3 else [f"k{i % 4}", "hot", None]) for i in range(150) for s in [rng.randrange(0, 20 * 86_400) * SECOND]]
+    rows += [(200, rows[0][1], rows[0][2], ["alone"]), (201, None, None, ["hot"])]
+    df = spark.createDataFrame(rows, "alert long, first_t long, last_t long, keys array<string>")
+    few, every = evidence.connecting_links(df), evidence.alert_links(df)
+    assert few.count() <= 2 * len(rows) and few.subtract(every).count() == 0
+    group = lambda links: {r.alert: r.incident for r in evidence.owned(df, links).collect()}
+    assert group(few) == group(every)
