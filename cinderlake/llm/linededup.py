@@ -14,11 +14,13 @@ Keys are MD5 digests (128 bits). Tasks hold one shard's filters and one Arrow ba
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ from cinderlake.llm.common import col, join_hot, materialize
 
 MIN_CHARS = 10
 BLANK_CHARS = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Slots of a bucket, buckets of a shard's first filter, its fullest load, and rounds of eviction before a further filter.
 SLOTS, FIRST_BUCKETS, LOAD, ROUNDS = 4, 1 << 10, 0.9, 200
 #: Keys of a shard if a store comes to hold twice the references of its first batch.
@@ -144,12 +145,9 @@ class Cuckoo:
 
 def as_numbers(keys: pa.Array) -> np.ndarray:
     """16-byte keys as rows of two unsigned 64-bit numbers."""
-    return np.frombuffer(b"".join(keys.to_pylist()), np.uint64).reshape(-1, 2)
-
-
-def line_key(line: Column) -> Column:
-    """A line's key before hashing."""
-    return F.translate(F.btrim(line, F.lit(BLANK_CHARS)), UPPER, LOWER)
+    _, offsets, values = keys.buffers()
+    first = np.frombuffer(offsets, np.int32)[keys.offset] if len(keys) else 0
+    return np.frombuffer(values or b"", np.uint64, 2 * len(keys), int(first)).reshape(-1, 2)
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -158,16 +156,35 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(doc.isNull().alias("no_id"), F.coalesce(doc.cast("long"), F.lit(0).cast("long")).alias("doc"), F.unhex(F.md5(text)).alias("text_id"), text.alias("_text"), F.struct("*").alias("row"))
 
 
+def line_keys(text: str) -> list[bytes | None]:
+    """The key of each line of a text whose A-Z are lower-cased already; none for short lines."""
+    return [hashlib.md5(k.encode()).digest() if len(k := line.strip(BLANK_CHARS)) >= MIN_CHARS else None for line in text.split("\n")]
+
+
+def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (no_id, doc, text_id, _text) as (no_id, doc, text_id, key, lines), a key of a text once."""
+    for batch in batches:
+        at, keys, lines = [], [], []
+        for i, text in enumerate(pc.ascii_lower(batch.column(3)).to_pylist()):
+            found = Counter(line_keys(text))
+            found.pop(None, None)
+            at += [i] * len(found)
+            keys += found.keys()
+            lines += found.values()
+        whose = batch.select([0, 1, 2]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*whose.columns, pa.array(keys, pa.binary()), pa.array(lines, pa.int64())], names=[*DOC, "text_id", "key", "lines"])
+
+
 def references(docs: DataFrame) -> DataFrame:
     """(key, no_id, doc, text_id, lines): the keys of each document's texts, and how many lines have them."""
-    keys = F.filter(F.transform(F.split("_text", "\n"), line_key), lambda k: F.length(k) >= MIN_CHARS)
-    lines = named(docs).select(*DOC, "text_id", F.explode(keys).alias("line")).select(*DOC, "text_id", F.unhex(F.md5("line")).alias("key"))
-    return lines.groupBy("key", *DOC, "text_id").agg(F.count("*").alias("lines"))
+    lines = named(docs).select(*DOC, "text_id", "_text").mapInArrow(listed, "no_id boolean, doc long, text_id binary, key binary, lines long")
+    return lines.groupBy("key", *DOC, "text_id").agg(F.sum("lines").alias("lines"))
 
 
 def counted(refs: DataFrame) -> DataFrame:
-    """(shard, key, refs, first, last): number of references, first and last document, by key."""
-    return refs.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min(F.struct(*DOC)).alias("first"), F.max(F.struct(*DOC)).alias("last"))
+    """(shard, key, refs, first, last, no_id): number of references, first and last doc_id, whether any has none, by key."""
+    doc = F.when(~F.col("no_id"), F.col("doc"))
+    return refs.groupBy(*KEY).agg(F.count("*").alias("refs"), F.min(doc).alias("first"), F.max(doc).alias("last"), F.max(F.col("no_id").cast("int")).alias("no_id"))
 
 
 def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,25 +228,17 @@ class LineStore:
     The number of shards is given, or comes from the first batch; a shard's memory grows with the store from then on."""
 
     def __init__(self, shards: int | None = None):
-        self.shards, self.version = shards, 0
+        self.shards = shards
         self.refs: DataFrame | None = None
         self.counts: DataFrame | None = None
         self.filters: DataFrame | None = None
+        self.batches = 0
 
-    def live(self, keys: DataFrame | None = None) -> DataFrame:
-        """References in the store, of all keys or of some."""
-        refs = self.refs if keys is None else self.refs.join(keys, KEY, "left_semi")
-        if self.version == 1:
-            return refs
+    def live(self, keys: DataFrame) -> DataFrame:
+        """References in the store of some keys."""
+        refs = self.refs.join(keys, KEY, "left_semi")
         return refs.groupBy(*KEY, *DOC, "text_id").agg(F.sum("lines").alias("lines")).where("lines > 0")
 
-    def current(self) -> DataFrame:
-        """(shard, key, refs, first, last): the latest count of every live key."""
-        if self.version == 1:
-            return self.counts.drop("version")
-        last = self.counts.groupBy(*KEY).agg(F.max_by(F.struct("refs", "first", "last"), "version").alias("now"))
-        return last.select(*KEY, "now.*").where("refs > 0")
-
     def tell(self, keys: DataFrame, act: int) -> DataFrame:
         """Tell the filters of keys; those that they may have held before, if asked."""
         none = F.lit(None).cast("binary")
@@ -240,43 +249,43 @@ class LineStore:
         self.filters = done.where("key is null").select("shard", "blob")
         return done.where("key is not null").select(*KEY)
 
-    def add_delta(self, delta: DataFrame, counts: DataFrame | None) -> None:
-        self.version += 1
+    def add(self, delta: DataFrame) -> None:
+        self.batches += 1
         self.refs = delta if self.refs is None else self.refs.unionByName(delta)
-        if counts is not None:
-            self.add_counts(counts)
 
-    def add_counts(self, counts: DataFrame) -> None:
-        written = materialize(counts.withColumn("version", F.lit(self.version)), "counts")
-        self.counts = written if self.counts is None else self.counts.unionByName(written)
+    def count(self, counts: DataFrame, instead_of: DataFrame | None = None) -> None:
+        """Add counts; those of some keys are replaced."""
+        written = materialize(counts, "counts")
+        if self.counts is not None:
+            written = self.counts.join(instead_of, KEY, "left_anti").unionByName(written)
+        self.counts = written
 
     def insert(self, docs: DataFrame) -> None:
         """Add documents (doc_id, text; other columns are ignored). A document that is there already gets the lines as well."""
         delta = materialize(references(docs), "refs")
         self.shards = self.shards or 1 + 2 * delta.count() // SHARD_KEYS
         delta = delta.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)))
-        new, before = counted(delta), self.current() if self.version else None
+        new = counted(delta)
         maybe = self.tell(new, ASK)
-        self.add_delta(delta, None)
-        if before is None:
-            return self.add_counts(new)
+        self.add(delta)
+        if self.counts is None:
+            return self.count(new)
         # Keys that the filters took for others are added for their own, so that either can leave without the other.
-        self.tell(maybe.join(before, KEY, "left_anti"), ADD)
-        self.add_counts(new.join(maybe, KEY, "left_anti").unionByName(counted(self.live(maybe))))
+        self.tell(maybe.join(self.counts, KEY, "left_anti"), ADD)
+        self.count(new.join(maybe, KEY, "left_anti").unionByName(counted(self.live(maybe))), maybe)
 
     def delete(self, ids: DataFrame) -> None:
         """Take documents (doc_id; null for those without) out again, as if they had never been inserted; unknown ids are ignored."""
-        if not self.version:
+        if self.refs is None:
             return
         gone = ids.select(col("doc_id").isNull().alias("no_id"), F.coalesce(col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc")).distinct()
-        delta = materialize(self.live().join(gone, DOC, "left_semi").withColumn("lines", -F.col("lines")), "refs")
+        left = self.refs.join(gone, DOC, "left_semi").groupBy(*KEY, *DOC, "text_id").agg((-F.sum("lines")).alias("lines")).where("lines < 0")
+        delta = materialize(left, "refs")
         touched = delta.select(*KEY).distinct()
-        self.add_delta(delta, None)
+        self.add(delta)
         rest = materialize(counted(self.live(touched)), "rest")
-        empty = touched.join(rest, KEY, "left_anti")
-        self.tell(empty, TAKE)
-        nobody = F.lit(None).cast(rest.schema["first"].dataType)
-        self.add_counts(rest.unionByName(empty.select(*KEY, F.lit(0).cast("long").alias("refs"), nobody.alias("first"), nobody.alias("last"))))
+        self.tell(touched.join(rest, KEY, "left_anti"), TAKE)
+        self.count(rest, touched)
 
     def deduplicated(self, docs: DataFrame) -> DataFrame:
         """(row, n_lines, n_dropped, kept): every row of docs with its text without lines that an earlier document holds.
@@ -284,11 +293,12 @@ class LineStore:
         A key that two documents of the store hold keeps its lines in the first of them (least doc_id). Other lines, those
         without a key too, stay. row has all columns of docs; a null text counts as one empty line."""
         rows = named(docs)
-        if not self.version:
+        if self.refs is None:
             return rows.select("row", count_lines(F.col("_text")).alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.col("_text").alias("kept"))
-        shared = self.current().where("first <> last")
-        held = join_hot(self.live().select("key", *DOC, "text_id"), shared.select("key", "first"), "key", counts=shared.select("key", F.col("refs").alias("n")))
-        drops = held.where(F.struct(*DOC) != F.col("first")).groupBy(*DOC, "text_id").agg(F.collect_list("key").alias("drops"))
+        shared = self.counts.where("first <> last or (no_id = 1 and first is not null)")
+        held = join_hot(self.refs.drop("shard"), shared.select("key", "first"), "key", counts=shared.select("key", F.col("refs").alias("n")))
+        later = held.where("no_id or doc <> first").repartition(*DOC, "text_id").groupBy(*DOC, "text_id", "key").agg(F.sum("lines").alias("lines"))
+        drops = later.where("lines > 0").groupBy(*DOC, "text_id").agg(F.collect_list("key").alias("drops"))
         met = join_hot(rows, drops, *DOC, "text_id", how="left")
         cut = F.pandas_udf(without, "n long, text string")(F.when(F.col("drops").isNotNull(), F.col("_text")), F.col("drops"))
         met = met.withColumn("_cut", cut)
@@ -296,21 +306,20 @@ class LineStore:
 
 
 def count_lines(text: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
 
 
 def without(text: pd.Series, drops: pd.Series) -> pd.DataFrame:
     """Texts without the lines whose keys are given; nothing where no keys are."""
-    upper = str.maketrans(UPPER, LOWER)
     counts: list[int | None] = []
     kept: list[str | None] = []
-    for t, d in zip(text, drops):
+    for t, low, d in zip(text, pc.ascii_lower(pa.array(text, pa.string(), from_pandas=True)).to_pylist(), drops):
         if d is None:
             counts.append(None)
             kept.append(None)
             continue
         bad, lines = set(map(bytes, d)), t.split("\n")
-        stay = [x for x in lines if len(k := x.strip(BLANK_CHARS)) < MIN_CHARS or hashlib.md5(k.translate(upper).encode()).digest() not in bad]
+        stay = [line for line, key in zip(lines, line_keys(low)) if key not in bad]
         counts.append(len(lines) - len(stay))
         kept.append("\n".join(stay))
     return pd.DataFrame({"n": pd.array(counts, "Int64"), "text": kept})

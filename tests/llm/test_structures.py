@@ -275,13 +275,13 @@ def test_lines_are_reversible(spark, lined, monkeypatch):
     assert kept(store, docs_of(spark, rest)) == brute_lines(rest)
     # The filters hold as many fingerprints as there are live keys, and know each of these.
     filters = {r.shard: linededup.Cuckoo.load(r.blob) for r in store.filters.collect()}
-    live = [(r.shard, bytes(r.key)) for r in store.current().collect()]
+    live = [(r.shard, bytes(r.key)) for r in store.counts.collect()]
     assert sum(int((t > 0).sum()) for f in filters.values() for t in f.tables) == len(live)
     assert all(filters[s].holds(np.frombuffer(k, np.uint64).reshape(1, 2)).all() for s, k in live)
     store.insert(docs_of(spark, [r for r in lined if r[0] in out]))
     assert kept(store, df) == brute_lines(lined)
     store.delete(df)
-    assert store.current().count() == 0
+    assert store.counts.count() == 0
     assert not any(t.any() for r in store.filters.collect() for t in linededup.Cuckoo.load(r.blob).tables)
 
 
