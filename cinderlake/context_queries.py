@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cinderlake.functions import policy as P
 from cinderlake.operators import context as K
 from cinderlake.operators import correlation as C
+from cinderlake.operators import documents as D
 from cinderlake.operators import windows as W
 from cinderlake.registry import twin
 from cinderlake.sources import ingest as I
@@ -157,7 +158,8 @@ def pseudonym_dictionary(spark, sf_dir):
 def pseudonymize_messages(spark, sf_dir):
     """Messages with pseudonyms in the place of identifiers."""
     rows = _contexts(spark, sf_dir)
-    return P.pseudonymized(rows, P.dictionary(rows, "user_id", "message"), "user_id", "message").select("pos", F.col("message").alias("text"))
+    names = P.dictionary(rows, "user_id", "message").drop("kind")
+    return D.swapped(rows, names, "pos", "user_id", "message").select("pos", F.col("message").alias("text"))
 
 
 @twin(f"WITH {MSG} SELECT pos, '[REDACTED_SECRET_FIELD]' AS password, '[REDACTED_SECRET_FIELD]' AS db_secret, {_nested('message')} AS note, username AS email FROM msg")
