@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cinderlake.context_queries import _ITEMS, _items
+from cinderlake.operators import analyses as A
 from cinderlake.operators import context as K
 from cinderlake.operators import packs as P
 from cinderlake.plans.stored import materialize
 from cinderlake.registry import twin
+from cinderlake.sources.telemetry import TELEMETRY_SQL as SEC
+from cinderlake.sources.telemetry import telemetry
 
 DAY = 86_400_000_000
 #: Token budgets of the experiment; some packs fit, lose context, then relationships, then clip texts.
@@ -75,3 +78,45 @@ def pack_budgets(spark, sf_dir):
         one = cuts.select(F.lit(budget).alias("budget"), "pack", F.col("cut").cast("long").alias("cut"), "popped", "chars", *zero, "clipped")
         out = one if out is None else out.union(one)
     return out
+
+
+#: A daily analyst's document for each account: sound but for one fault, by user_id % 14.
+_FAULT = lambda n, bad, good: f"CASE WHEN user_id % 14 = {n} THEN {bad} ELSE {good} END"
+_ANALYSIS = " || ".join([
+    "'{\"incident_id\":\"' || (user_id + " + _FAULT(1, "1", "0") + ") || '\",\"summary\":\"' || " + _FAULT(2, "'The host has been isolated'", "'No action has been taken'"),
+    "'\",\"evidence\":' || " + _FAULT(0, "'{}'", "'[{\"event_ids\":[\"ev-' || first || '\",\"ev-' || " + _FAULT(3, "(first - 100000)", "last") + " || '\"]}]'"),
+    "',\"technique_ids\":[\"' || technique || '\"' || CASE user_id % 14 WHEN 4 THEN ',\"T9999\",\"T9999\"' WHEN 5 THEN ',\"T1003\"' ELSE '' END || '],\"confidence\":\"' || " + _FAULT(6, "'sure'", "'high'"),
+    "'\",\"proposed_only\":' || " + _FAULT(7, "'false'", "'true'") + " || ',\"recommended_actions\":[{\"action\":\"' || " + _FAULT(8, "'I will block it'", "'block it'") + " || '\",\"tier\":\"T2\",\"requires_human_approval\":' || " + _FAULT(9, "'false'", "'true'"),
+    "',\"response_action\":\"' || CASE user_id % 14 WHEN 10 THEN 'wipe_disk' WHEN 11 THEN 'disable_account' ELSE 'block_ip' END || '\"}],\"citations\":[{\"claim\":\"seen\",\"classification\":\"OBSERVED\",\"evidence_ids\":[\"E' || " + _FAULT(12, "(first - 100000)", "first") + " || '\",\"E' || last || 'x\"]}'",
+    "',{\"claim\":\"look\",\"classification\":\"ai_recommendation\",\"evidence_ids\":' || " + _FAULT(13, "'[\"E0\"]'", "'[]'") + " || '}]}'",
+])
+_FIRSTS = SEC + ", who AS (SELECT user_id, min(pos) AS first, max(pos) AS last, min(technique) AS technique FROM sec WHERE seed GROUP BY user_id)"
+
+
+def _analyses(spark, sf_dir):
+    seeds = telemetry(spark, sf_dir).where("seed")
+    who = seeds.groupBy("user_id").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min("technique").alias("technique"))
+    docs = who.select(F.col("user_id").alias("id"), F.col("user_id").alias("incident"), F.parse_json(F.expr(_ANALYSIS)).alias("v"))
+    evidence = seeds.select(F.col("user_id").alias("incident"), F.concat(F.lit("E"), "pos").alias("evidence_id"), "event_id", "technique")
+    return docs, evidence
+
+
+_WRONG = {
+    0: ("shape", "$.evidence", "'OBJECT<>'"), 1: ("incident_id", "$.incident_id", "CAST(user_id + 1 AS VARCHAR)"), 2: ("performed_action", "$.summary", "'1'"), 3: ("unknown_event", "$.evidence[0].event_ids[1]", "'ev-' || (first - 100000)"), 4: ("unknown_technique", "$.technique_ids[1]", "'T9999'"),
+    5: ("unmapped_technique", "$.technique_ids[1]", "'T1003'"), 6: ("confidence", "$.confidence", "'sure'"), 7: ("proposed_only", "$.proposed_only", "'false'"), 8: ("performed_action", "$.recommended_actions[0].action", "'4'"), 9: ("approval", "$.recommended_actions[0].requires_human_approval", "'T2'"),
+    10: ("unknown_action", "$.recommended_actions[0].response_action", "'wipe_disk'"), 11: ("tier", "$.recommended_actions[0].tier", "'T2'"), 12: ("unsupported_claim", "$.citations[0]", "'seen'"), 13: ("unsupported_claim", "$.citations[1]", "'look'"),
+}
+
+
+@twin(f"WITH {_FIRSTS} " + " UNION ALL ".join(f"SELECT user_id AS id, '{check}' AS \"check\", '{path}' AS path, {value} AS value FROM who WHERE user_id % 14 = {n}" for n, (check, path, value) in _WRONG.items()))
+def analysis_violations(spark, sf_dir):
+    """What is wrong in each account's analysis, by path: one fault of each kind."""
+    docs, evidence = _analyses(spark, sf_dir)
+    return A.violations(docs, evidence, evidence, evidence)
+
+
+@twin(f"WITH {_FIRSTS} SELECT user_id AS id, '$.citations[0]' AS path, user_id % 14 <> 12 AS supported, CASE WHEN user_id % 14 <> 12 THEN 'ev-' || first ELSE '' END AS events, CASE WHEN user_id % 14 = 12 THEN 'E' || (first - 100000) || ',' ELSE '' END || 'E' || last || 'x' AS bad FROM who UNION ALL SELECT user_id, '$.citations[1]', user_id % 14 <> 13, '', CASE WHEN user_id % 14 = 13 THEN 'E0' ELSE '' END FROM who")
+def citation_events(spark, sf_dir):
+    """Citations resolved to the events behind their evidence, and whether they stand."""
+    docs, evidence = _analyses(spark, sf_dir)
+    return A.citations(docs, evidence).select("id", "path", "supported", F.array_join("event_ids", ",").alias("events"), F.array_join("bad", ",").alias("bad"))
