@@ -34,13 +34,20 @@ def items(events: DataFrame) -> DataFrame:
     grouped = join_hot(rows, sizes, "key").groupBy("key", F.when(F.col("group_size") < COLLAPSE, F.col("pos")).alias("own")).agg(
         first, F.max("t").alias("last_t"), F.count("*").alias("n"), F.bool_or("seed").alias("detected"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.array_sort(F.collect_set("technique")).alias("techniques"), F.slice(F.array_sort(F.collect_set("username")), 1, ACTORS).alias("actors"),
     )
-    flat = grouped.select("f.*", "last_t", "n", "detected", "rules", "techniques", "actors").withColumnRenamed("t", "first_t").join(F.broadcast(counts), ["category", "action"])
+    flat = grouped.select("key", "own", "f.*", "last_t", "n", "detected", "rules", "techniques", "actors").withColumnRenamed("t", "first_t").join(F.broadcast(counts), ["category", "action"])
     placed = numbered(flat, [F.asc("first_t"), F.asc("event_id")], "item")
     label = F.concat(F.lit("E"), F.lpad(F.col("item").cast("string"), F.greatest(F.lit(2), F.length(F.col("item").cast("string"))), F.lit("0")))
     out = placed.withColumn("id", label).withColumn("kind", F.when(F.col("n") > 1, "aggregate").otherwise("event")).withColumn("role", F.when(F.col("detected"), "detection_evidence").otherwise("context"))
     return materialize(out.withColumn("rarity", F.when(F.col("action_count") <= 2, "rare").otherwise("common")), "items")
 
 
+def item_events(events: DataFrame, found: DataFrame) -> DataFrame:
+    """(item, pos): the events that each of the items(events) stands for."""
+    rows = events.select("pos", group_key().alias("key"))
+    single, group = found.where("own is not null").select("item", F.col("own").alias("pos")), found.where("own is null").select("key", "item")
+    return single.unionByName(join_hot(rows, group, "key").select("item", "pos"))
+
+
 def item_entities() -> Column:
     """Namespaced entities of an item, those of its first event and the actors it names."""
     one = lambda space, name: F.when(F.col(name) != "", F.concat(F.lit(f"{space}:"), F.col(name)))

@@ -8,6 +8,7 @@ from cinderlake.context_queries import _ITEMS, _items
 from cinderlake.operators import analyses as A
 from cinderlake.operators import context as K
 from cinderlake.operators import packs as P
+from cinderlake.operators import segments as S
 from cinderlake.plans.stored import materialize
 from cinderlake.registry import twin
 from cinderlake.sources.telemetry import TELEMETRY_SQL as SEC
@@ -120,3 +121,46 @@ def citation_events(spark, sf_dir):
     """Citations resolved to the events behind their evidence, and whether they stand."""
     docs, evidence = _analyses(spark, sf_dir)
     return A.citations(docs, evidence).select("id", "path", "supported", F.array_join("event_ids", ",").alias("events"), F.array_join("bad", ",").alias("bad"))
+
+
+#: Fourteen facts, each a set of events that must be there together.
+_FACT = "CASE WHEN user_id BETWEEN 1 AND 14 AND (CASE WHEN user_id % 2 = 0 THEN seed ELSE category = 'authentication' AND severity = user_id % 4 END) THEN 'F' || lpad(CAST(user_id AS STRING), 2, '0') END"
+
+
+@twin(f"""WITH {_PACKS}, facts AS (SELECT pos, {_FACT.replace('STRING', 'VARCHAR')} AS fact FROM sec), alive AS (SELECT budget, k2.item FROM chosen JOIN k2 USING (pack) WHERE step IS NULL OR step > c[1]),
+  of AS (SELECT it.item, s.pos FROM it JOIN sized s ON s.key = it.key_ AND coalesce(s.own, -1) = coalesce(it.own_, -1)), got AS (SELECT DISTINCT budget, pos FROM alive JOIN of USING (item)),
+  per AS (SELECT b.budget, fact, count(*) AS n_events, count(got.pos) AS n_found FROM (SELECT DISTINCT budget FROM chosen) b CROSS JOIN facts LEFT JOIN got ON got.budget = b.budget AND got.pos = facts.pos WHERE fact IS NOT NULL GROUP BY ALL)
+  SELECT budget, count(*) AS n_facts, count(*) FILTER (n_events = n_found) AS n_preserved, coalesce(string_agg(fact, ',' ORDER BY fact) FILTER (n_events <> n_found), '') AS missing, round(100.0 * count(*) FILTER (n_events = n_found) / count(*), 1) AS retention_percent, round(100.0 * sum(n_found) / sum(n_events), 1) AS citation_percent FROM per GROUP BY budget""")
+def fact_retention(spark, sf_dir):
+    """Facts that daily packs still prove under each budget, and the share of their events that can be cited."""
+    whole, events = _packs(spark, sf_dir), telemetry(spark, sf_dir)
+    found = materialize(P.elements(whole, P.steps(whole.items)), "elements")
+    of = materialize(K.item_events(events, whole.items), "item-events")
+    held = None
+    for budget in BUDGETS:
+        one = P.trimmed(whole, F.lit(budget), found)[0].items.select("item", F.lit(budget).alias("budget"))
+        held = one if held is None else held.union(one)
+    facts = events.select(F.expr(_FACT).alias("fact"), "pos").where("fact is not null")
+    return S.retention(S.coverage(facts, held.join(of, "item"), "budget"), "budget")
+
+
+_SEGMENTS = """SELECT user_id AS segment, 'S' || user_id % 5 AS stage, min(pos) AS lo, min(pos) + CASE WHEN user_id % 11 = 0 THEN -1 WHEN user_id % 13 = 0 THEN 1000000000000 ELSE user_id % 7 * 50 END AS hi FROM {} GROUP BY user_id"""
+_RULES = {f"S{i}": f"category IN ('{a}', '{b}') OR severity >= 2" for i, (a, b) in enumerate([("cloud", "alert"), ("process", "network"), ("alert", "process"), ("network", "cloud"), ("authentication", "alert")])}
+_HELD = f"WITH {SEC}, seg AS ({_SEGMENTS.format('sec')}), held AS (SELECT seg.segment, stage, pos, CASE stage " + " ".join(f"WHEN '{s}' THEN {r}" for s, r in _RULES.items()) + " END AS meets FROM seg JOIN sec ON pos BETWEEN lo AND hi)"
+
+
+def _audit(spark, sf_dir):
+    events = telemetry(spark, sf_dir)
+    return S.segment_audit(events.select(F.col("pos").alias("n"), "category", "severity"), spark.sql(_SEGMENTS.format("{e}"), e=events), _RULES)
+
+
+@twin(f"{_HELD}, c AS (SELECT segment, count(*) AS n, count(*) FILTER (NOT meets) AS broken FROM held GROUP BY segment) SELECT segment, stage, coalesce(n, 0) AS n_events, GREATEST(hi - lo + 1, 0) - coalesce(n, 0) AS n_missing, coalesce(broken, 0) AS n_broken FROM seg LEFT JOIN c USING (segment)")
+def segment_audit(spark, sf_dir):
+    """Events inside each account's segment of numbers, missing ones, and those that break the rule of its stage."""
+    return _audit(spark, sf_dir)[0]
+
+
+@twin(f"{_HELD} SELECT pos AS n, count(*) AS n_segments FROM held GROUP BY pos HAVING count(*) > 1")
+def segments_twice(spark, sf_dir):
+    """Event numbers that several segments claim."""
+    return _audit(spark, sf_dir)[1]
