@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cinderlake.context_queries import _ITEMS, _items
 from cinderlake.operators import analyses as A
 from cinderlake.operators import context as K
+from cinderlake.operators import evaluation as E
 from cinderlake.operators import packs as P
 from cinderlake.operators import segments as S
 from cinderlake.plans.stored import materialize
@@ -164,3 +165,49 @@ def segment_audit(spark, sf_dir):
 def segments_twice(spark, sf_dir):
     """Event numbers that several segments claim."""
     return _audit(spark, sf_dir)[1]
+
+
+#: Labels of the telemetry: events of k under 20 are an attack's, in five stages; the engine selects detections and severe events.
+_RELATED, _CHOSEN, _STAGE_OF = "k < 20", "seed OR severity >= 3", "'stage ' || k % 5"
+_TRUTH = f"WITH {SEC}, jd AS (SELECT pos AS n, {_CHOSEN} AS chosen, {_RELATED} AS related, k < 8 AS critical, {_STAGE_OF} AS stage FROM sec)"
+
+
+def _judged(spark, sf_dir):
+    rows = telemetry(spark, sf_dir)
+    truth = rows.where(_RELATED).select(F.col("pos").alias("n"), F.lit(True).alias("related"), F.expr("k < 8").alias("critical"), F.expr(_STAGE_OF).alias("stage"))
+    absent = truth.where("n % 1000 = 0").select((-F.col("n") - 1).alias("n"), "related", "critical", F.lit("nowhere").alias("stage"))
+    return E.judged(rows.where(_CHOSEN).select(F.col("pos").alias("n")), rows.select(F.col("pos").alias("n")), truth.union(absent))
+
+
+_ALL = _TRUTH + ", al AS (SELECT *, true AS present FROM jd UNION ALL SELECT -n - 1, false, true, critical, 'nowhere', false FROM jd WHERE related AND n % 1000 = 0)"
+
+
+@twin(f"""{_ALL}, m AS (SELECT count(*) FILTER (present) AS events, count(*) FILTER (chosen) AS selected, count(*) FILTER (chosen AND related) AS tp, count(*) FILTER (chosen AND NOT related) AS fp, count(*) FILTER (NOT chosen AND related) AS fn, count(*) FILTER (related AND critical) AS critical_total, count(*) FILTER (related AND critical AND chosen) AS critical_retained, count(*) FILTER (related AND NOT present) AS absent FROM al)
+  SELECT *, events - tp - fp - fn AS tn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(critical_retained / critical_total, 4) AS critical_recall, round(2.0 * tp / (2 * tp + fp + fn), 4) AS f1 FROM m""")
+def selection_metrics(spark, sf_dir):
+    """The engine's selection against labels, with labels that have no input."""
+    return E.metrics(_judged(spark, sf_dir))
+
+
+@twin(f"""{_ALL}, r AS (SELECT stage, n, n - row_number() OVER (PARTITION BY stage ORDER BY n) AS g FROM al WHERE related AND NOT chosen), runs AS (SELECT stage, min(n) AS lo, max(n) AS hi FROM r GROUP BY stage, g),
+  tx AS (SELECT stage, min(lo) AS first, string_agg('EVT-' || lpad(CAST(lo AS VARCHAR), GREATEST(6, length(CAST(lo AS VARCHAR)))::INT, '0') || CASE WHEN hi > lo THEN '..' || lpad(CAST(hi AS VARCHAR), GREATEST(6, length(CAST(hi AS VARCHAR)))::INT, '0') ELSE '' END, ', ' ORDER BY lo) AS missed FROM runs GROUP BY stage),
+  c AS (SELECT stage, count(*) AS events, count(*) FILTER (chosen) AS selected, count(*) FILTER (critical AND NOT chosen) AS critical_missed FROM al WHERE related GROUP BY stage)
+  SELECT c.*, missed, first AS missed_first, row_number() OVER (ORDER BY first, stage) AS missed_order FROM c LEFT JOIN tx USING (stage)""")
+def missed_stages(spark, sf_dir):
+    """Attack events by stage, how many are selected, and the ranges of those that are missed."""
+    return E.stages(_judged(spark, sf_dir)).withColumn("missed_order", F.col("missed_order").cast("long"))
+
+
+_AUDIT = "SELECT 'path ' || user_id AS stage, user_id AS position, min(pos) AS lo, min(pos) + user_id * 3 AS hi FROM {} GROUP BY user_id"
+
+
+@twin(f"{_TRUTH}, a AS ({_AUDIT.format('sec')}) SELECT a.stage, a.position, count(*) FILTER (related) AS attack_events, count(*) FILTER (related AND chosen) AS selected, count(*) - count(*) FILTER (related AND chosen) AS missed FROM a JOIN jd ON n BETWEEN lo AND hi GROUP BY a.stage, a.position")
+def attack_path(spark, sf_dir):
+    """Attack events of each audited range, selected and missed; the audit's own counts must agree."""
+    rows = telemetry(spark, sf_dir)
+    ranges = spark.sql(_AUDIT.format("{e}"), e=rows)
+    # The audit counts for itself.
+    run = rows.select("pos", F.expr(f"CAST(({_RELATED}) AND ({_CHOSEN}) AS INT)").alias("hit")).where("hit = 1")
+    at = S.stabbed(run, "pos", ranges)
+    audit = ranges.join(at.groupBy("stage").agg(F.count("*").alias("selected")), "stage", "left").fillna(0, ["selected"])
+    return E.attack_path(audit, _judged(spark, sf_dir).where("present"))
