@@ -73,7 +73,7 @@ def context_relationships(spark, sf_dir):
     return K.relationships(found, K.entities(found))
 
 
-@twin(f"WITH {_ITEMS}, d AS (SELECT item, date_trunc('day', make_timestamp(first_t)) AS day, category, outcome, first_t FROM scored) SELECT item, coalesce((category, outcome) IS DISTINCT FROM lag((category, outcome)) OVER (PARTITION BY day ORDER BY first_t, item), true) AS changed FROM d")
+@twin(f"WITH {_ITEMS}, d AS (SELECT item, date_trunc('day', make_timestamp(first_t)) AS day, category, outcome, first_t FROM scored) SELECT item, coalesce((category, outcome) IS DISTINCT FROM lag((category, outcome)) OVER (PARTITION BY day ORDER BY first_t, item) AND lag(item) OVER (PARTITION BY day ORDER BY first_t, item) IS NOT NULL, false) AS changed FROM d")
 def context_timeline(spark, sf_dir):
     """Where the state (category, outcome) changes from one item of a day to the next."""
     rows = _items(spark, sf_dir).select(F.expr("first_t div 86400000000").alias("key"), F.col("first_t").alias("t"), F.col("item").alias("pos"), "category", "outcome")
@@ -308,7 +308,7 @@ def signals_in_scope(spark, sf_dir):
 def tactic_progression(spark, sf_dir):
     """Tactics of an account's detections in time, equal neighbours once."""
     rows = telemetry(spark, sf_dir).where("seed").select(F.col("user_id").alias("key"), "t", "pos", C.tactic_of(F.col("technique")).alias("tactic"))
-    new = W.transitions(rows, ["tactic"]).where("changed").join(rows.select("pos", "key", "t", "tactic"), "pos", "left_semi").select("pos").join(rows, "pos")
+    new = W.transitions(rows, ["tactic"], first=True).where("changed").join(rows.select("pos", "key", "t", "tactic"), "pos", "left_semi").select("pos").join(rows, "pos")
     return new.groupBy(F.col("key").alias("user_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "pos", "tactic"))), lambda x: x["tactic"]), ">").alias("progression"))
 
 

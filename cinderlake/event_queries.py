@@ -267,7 +267,7 @@ def _by_user(spark, sf_dir):
     return events(spark, sf_dir).select(F.col("user_id").alias("key"), "t", "pos", "event_type", "severity")
 
 
-@twin(f"WITH {EV} SELECT pos, coalesce((event_type, severity) IS DISTINCT FROM lag((event_type, severity)) OVER (PARTITION BY user_id ORDER BY t, pos), true) AS changed FROM ev")
+@twin(f"WITH {EV} SELECT pos, coalesce((event_type, severity) IS DISTINCT FROM lag((event_type, severity)) OVER (PARTITION BY user_id ORDER BY t, pos) AND lag(pos) OVER (PARTITION BY user_id ORDER BY t, pos) IS NOT NULL, false) AS changed FROM ev")
 def timeline_transitions(spark, sf_dir):
     return W.transitions(_by_user(spark, sf_dir), ["event_type", "severity"]).select("pos", "changed")
 

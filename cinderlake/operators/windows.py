@@ -80,8 +80,8 @@ def frequency(rows: DataFrame, shape: list[str]) -> DataFrame:
     return both.select(*shape, "c", F.round(F.col("c") / F.col("n"), 6).alias("event_frequency"), F.round(1 - F.log1p("c") / F.log1p("n"), 6).alias("rarity"))
 
 
-def transitions(rows: DataFrame, state: list[str]) -> DataFrame:
-    """rows(key, t, pos, ...) with changed: the state differs from the key's previous row, or there is none.
+def transitions(rows: DataFrame, state: list[str], first: bool = False) -> DataFrame:
+    """rows(key, t, pos, ...) with changed: the state differs from the key's previous row; `first` for a row without one.
 
     A bucket's first row is compared with the last state of the key's buckets before."""
     now, at = F.struct(*state), F.struct("t", "pos")
@@ -90,12 +90,13 @@ def transitions(rows: DataFrame, state: list[str]) -> DataFrame:
     w = Window.partitionBy("key", "bucket").orderBy("t", "pos")
     joined = spread.withColumn("place", F.row_number().over(w)).withColumn("previous", F.lag(now).over(w)).join(last, same_bucket("key"), "left")
     previous = F.when(F.col("place") == 1, F.col("tail.s")).otherwise(F.col("previous"))
-    return joined.withColumn("changed", ~previous.eqNullSafe(now)).select(*rows.columns, "changed")
+    opening = (F.col("place") == 1) & F.col("tail").isNull()
+    return joined.withColumn("changed", F.when(opening, F.lit(first)).otherwise(~previous.eqNullSafe(now))).select(*rows.columns, "changed")
 
 
 def chain(rows: DataFrame, state: str) -> DataFrame:
     """Runs of neighbouring rows of a key with equal state: (key, island, state, n, first_pos, last_pos)."""
-    marked = transitions(rows, [state]).withColumn("new", F.col("changed").cast("int")).withColumn("bucket", bucket_of(F.col("t"), DAY))
+    marked = transitions(rows, [state], first=True).withColumn("new", F.col("changed").cast("int")).withColumn("bucket", bucket_of(F.col("t"), DAY))
     begun = carried(marked, "key", {"news": F.sum("new")}, {"begun": (F.sum("news"), "before")})
     w = Window.partitionBy("key", "bucket").orderBy("t", "pos").rowsBetween(Window.unboundedPreceding, 0)
     joined = marked.withColumn("here", F.sum("new").over(w)).join(begun, same_bucket("key"), "left")

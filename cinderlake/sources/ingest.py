@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.functions.text import basename
 from cinderlake.operators.correlation import TECHNIQUES
 from cinderlake.plans.hot import join_hot
 from cinderlake.sources.tables import key_values
@@ -30,20 +31,15 @@ def raw_to_generic(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", "timestamp", "host", F.col("source_type").alias("event_type"), F.col("raw_message").alias("message"), F.col("source_file").alias("source"), F.lit(None).cast("int").alias("severity"))
 
 
-def basename(path: Column) -> Column:
-    return F.element_at(F.split(F.replace(path, F.lit("/"), F.lit("\\")), r"\\"), -1)
-
-
 def generic(rows: DataFrame) -> DataFrame:
     """Generic events with the fields of their message: names by preference, log-on failures by code or word."""
     f = lambda *names: F.coalesce(*[F.nullif(F.col("fields")[n], F.lit("")) for n in names])
     parsed = rows.withColumn("fields", key_values(F.coalesce("message", F.lit(""))))
-    client = F.nullif(F.regexp_extract("message", r"\[client ([^\]:\s]+)", 1), F.lit(""))
     mail = F.when(F.contains(f("to"), F.lit("@")), F.substring_index(f("to"), "@", 1))
     connected = F.when(F.contains("message", F.lit("DeviceConnected")), "DeviceConnected")
     failed = F.coalesce(f("EventID") == "4625", F.lit(False)) | F.coalesce(F.upper(f("authentication")) == "FAILURE", F.lit(False))
     return parsed.select(
-        "event_id", "timestamp", "event_type", "source", "severity", F.coalesce("host", f("host", "device", "mailserver")).alias("host"), F.coalesce(f("src", "client"), client, f("IpAddress", "SourceIp", "source_ip")).alias("source_ip"),
+        "event_id", "timestamp", "event_type", "source", "severity", F.coalesce(F.nullif("host", F.lit("")), f("host", "device", "mailserver")).alias("host"), f("src", "client", "IpAddress", "SourceIp", "source_ip").alias("source_ip"),
         f("dst", "DestinationIp").alias("destination_ip"), f("sport").alias("source_port"), f("dport", "DestinationPort").alias("destination_port"), F.coalesce(f("user", "User", "AccountName"), mail).alias("username"),
         basename(f("Image")).alias("process_name"), basename(f("ParentImage")).alias("parent_process"), f("command", "request", "url", "uri").alias("command"), F.coalesce(f("action", "file_action"), F.concat(F.lit("EventID "), f("EventID")), connected).alias("action"),
         F.when(failed, "failure").otherwise(f("status", "Status", "authentication")).alias("status"), F.array_compact(F.array(f("path"), f("device_id"), f("query"))).alias("resource"), f("EventID").alias("event_code"), "message", "fields",

@@ -49,9 +49,14 @@ def siem_to_generic(rows: DataFrame) -> DataFrame:
 
 
 def key_values(message):
-    """key=value and key="quoted value" pairs of a text as a map; the last occurrence of a key wins."""
-    pattern = r'([A-Za-z_][A-Za-z0-9_.]*)=("[^"]*"|[^\s"]+)'
+    """key=value and key="quoted value" pairs of a text as a map; the last occurrence of a key wins.
+
+    Keys are letters, digits and underscores; a value ends at white space, or at the second quote if it begins with one. The address in
+    "[client address]" counts as client unless a pair names one."""
+    pattern = r'(?U)([A-Za-z_][A-Za-z0-9_]*)=("[^"]*"|\S+)'
     keys = F.regexp_extract_all(message, F.lit(pattern), F.lit(1))
-    values = F.transform(F.regexp_extract_all(message, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, '^"|"$', ""))
+    values = F.transform(F.regexp_extract_all(message, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(v, '(?s)^"([^"]*)"$', "$1"))
     last = F.filter(F.arrays_zip(keys.alias("key"), values.alias("value")), lambda x, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), x["key"]))
-    return F.map_from_entries(last)
+    client = F.regexp_extract(message, r"\[client ([0-9a-fA-F.:]+)\]", 1)
+    more = F.when((client != "") & ~F.array_contains(keys, "client"), F.array(F.struct(F.lit("client").alias("key"), client.alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    return F.map_from_entries(F.concat(last, more))

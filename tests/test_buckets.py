@@ -69,12 +69,13 @@ def test_transitions_and_chains(spark):
     for key in {r[0] for r in rows}:
         last = ()
         for _, t, pos, d in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1], r[2])):
-            changed[pos] = last != (d,)
-            if changed[pos]:
+            changed[pos] = last not in ((), (d,))
+            if last != (d,):
                 runs.append([key, d, 0, pos, pos])
             runs[-1] = [key, d, runs[-1][2] + 1, min(runs[-1][3], pos), max(runs[-1][4], pos)]
             last = (d,)
     assert {r.pos: r.changed for r in windows.transitions(df, ["d"]).collect()} == changed
+    assert sum(r.changed for r in windows.transitions(df, ["d"], first=True).collect()) == sum(changed.values()) + len({r[0] for r in rows})
     got = [[r.key, r.d, r.n, r.first_pos, r.last_pos] for r in windows.chain(df, "d").collect()]
     assert sorted(got, key=repr) == sorted(runs, key=repr)
 
