@@ -7,7 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import types as T
 
 MAX_TEXT = 512
 #: Where each field may be found, in order of preference, and the ranks of severity names.
@@ -40,7 +40,7 @@ TEXTS = ["event_id", "event_type", "source", "hostname", "username", "account",
 LISTS = ["detection_id", "rule_id", "resource"]
 
 
-@F.pandas_udf(StringType())
+@F.pandas_udf(T.StringType())
 def _long_address(values: pd.Series) -> pd.Series:
     """Canonical IPv6 text, null where it isn't one; only rows with a colon carry a value."""
 
@@ -53,28 +53,39 @@ def _long_address(values: pd.Series) -> pd.Series:
     return values.map(canonical)
 
 
-def looked_up(event: Column, name: str) -> Column:
+#: Top-level keys that some alias begins with; literal dotted keys too.
+HEADS = list(dict.fromkeys(h for aliases in ALIASES.values() for a in aliases for h in (a, a.split(".", 1)[0])))
+
+
+def looked_up(name: str) -> Column:
     """The first alias that holds a value other than null; a literal dotted key goes before the nested path.
 
-    event is the row's top-level map without nulls, so that only nested paths of keys it has need a variant walk."""
+    The row's top-level keys are columns h_<number in HEADS>, so only nested paths walk a variant."""
+    head = {h: F.col(f"h_{i}") for i, h in enumerate(HEADS)}
+    full = lambda v: F.when(v.isNotNull() & ~F.is_variant_null(v), v)
     found = []
     for alias in ALIASES[name]:
-        found.append(event[alias])
+        found.append(full(head[alias]))
         if "." in alias:
-            head, rest = alias.split(".", 1)
-            inner = F.try_variant_get(event[head], f"$.{rest}", "variant")
-            found.append(F.when(event[head].isNotNull() & ~F.is_variant_null(inner), inner))
+            top, rest = alias.split(".", 1)
+            found.append(F.when(head[top].isNotNull(), full(F.try_variant_get(head[top], f"$.{rest}", "variant"))))
     return F.coalesce(*found)
 
 
 def kind(value: Column) -> Column:
     """'text', 'number', 'list' or 'other' (a boolean or an object); null for null."""
-    schema = F.schema_of_variant(value)
-    return F.when(schema == "STRING", "text").when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").when(schema.startswith("ARRAY"), "list").when(schema.isNotNull(), "other")
+    kinds = {"STR": "text", "BIG": "number", "DEC": "number", "DOU": "number", "FLO": "number", "ARR": "list"}
+    known = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(known, F.substring(F.schema_of_variant(value), 1, 3)), F.lit("other")))
 
 
 def as_text(value: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.try_variant_get(value, "$", "string"), r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(F.try_variant_get(value, "$", "string"), F.lit(" \t\n\x0b\x0c\r")), F.lit(""))
+
+
+def object_text(raw: Column) -> Column:
+    """Whether a text is a JSON object."""
+    return F.coalesce(raw.rlike(r"^\s*\{") & F.try_parse_json(raw).isNotNull(), F.lit(False))
 
 
 def normalized(rows: DataFrame) -> DataFrame:
@@ -83,9 +94,11 @@ def normalized(rows: DataFrame) -> DataFrame:
     Rows whose raw isn't a JSON object are left to rejected(). Texts are trimmed and clipped to 512 characters, lists
     keep first occurrences in order, a number of 1e11 or more is a time in milliseconds, a time without offset is UTC.
     A row without id becomes anon-<pos>. A projection without shuffle; only IPv6 addresses go through Arrow."""
-    parsed = rows.select("pos", F.try_parse_json("raw").alias("_e")).where(F.schema_of_variant("_e").startswith("OBJECT"))
-    parsed = parsed.select("pos", F.map_filter(F.try_variant_get("_e", "$", "map<string,variant>"), lambda k, v: ~F.is_variant_null(v)).alias("_e"))
-    found = parsed.select("pos", *[looked_up(F.col("_e"), n).alias(f"_{n}") for n in ALIASES])
+    # One parse into the keys that some alias names, each a variant of its own; what isn't an object fails the cheaper test.
+    schema = T.StructType([T.StructField(h, T.VariantType()) for h in HEADS])
+    valid = rows.where(object_text(F.col("raw")))
+    parsed = valid.select("pos", F.from_json("raw", schema).alias("_e")).select("pos", *[F.col(f"_e.`{h}`").alias(f"h_{i}") for i, h in enumerate(HEADS)])
+    found = parsed.select("pos", *[looked_up(n).alias(f"_{n}") for n in ALIASES])
     # Kinds and texts are named once, behind inline(): filters and projections above it would otherwise be pushed
     # down with all lookups written out again in every place.
     named = [F.col(f"_{n}") for n in ALIASES] + [kind(F.col(f"_{n}")).alias(f"_k_{n}") for n in ALIASES] + [as_text(F.col(f"_{n}")).alias(f"_t_{n}") for n in ALIASES]
