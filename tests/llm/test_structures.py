@@ -316,3 +316,30 @@ def test_registered(spark, tmp_path, lined):
     assert rows_of(found["op11_prefix_trie"](spark, str(tmp_path)), NODE) == brute_trie(said)
     assert rows_of(found["op12_structure_repair"](spark, str(tmp_path)), REPORT) == brute_repair(said)
     assert rows_of(found["op13_line_dedup"](spark, str(tmp_path)), ["doc_id", "n_lines", "n_dropped", "kept_sha256"]) == brute_lines(lined)
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Words of 2048 letters that follow a Thue-Morse pattern and its complement share nothing."""
+    from cinderlake.llm import jaccard
+
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, word.upper(), f"{word} {other}", f"{other} {word}", " ".join([word] * 6), " ".join([other] * 6)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()} == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (1, 3), 4: (1, 4), 5: (1, 5), 6: (1, 6)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, missing ids and texts without words."""
+    from cinderlake.llm import jaccard
+
+    rnd = random.Random(1)
+    say = lambda: " ".join("".join(rnd.choices("abcdef", k=5)) for _ in range(60))
+    a, b, c = say(), say(), say()
+    near = lambda t: t.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, near(a)), (2, near(a)), (1, b), (3, near(b)), (None, near(b)), (None, c), (None, near(c)), (None, c), (None, None), (None, None), (None, " "), (4, None), (4, None), (4, ""), (5, " ")]
+    got = sorted(map(tuple, jaccard.deduplicated(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, no_id string")).select("doc_id", "text").collect()), key=repr)
+    first = lambda *texts: min(texts, key=lambda t: hashlib.md5(t.encode()).digest())
+    want = [(1, first(a, near(a))), (1, b), (None, first(c, near(c))), (None, None), (None, None), (None, " "), (4, None), (5, " ")]
+    assert [g for g in got if g[0] != 4] == sorted((w for w in want if w[0] != 4), key=repr)
+    assert sum(g[0] == 4 for g in got) == 1 and all(not (t or "").strip() for i, t in got if i == 4)
