@@ -40,7 +40,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 UNUSUAL = set("\x1c\x1d\x1e\x1f")
 OTHER_SPACE = {chr(c) for c in [9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]}
 STOPS = {".", "!", "?"}
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 150_000
 END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
