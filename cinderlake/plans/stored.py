@@ -37,7 +37,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Cuts the lineage, survives lost executors and lets several later steps read one result."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
@@ -35,6 +35,34 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): lines of text files with the split that they were read in and a rising number inside it."""
+    meta = F.col("_metadata")
+    return spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines that are neither blank nor JSON, with their number in their file, from 1; blank lines count.
+
+    Files are cut into splits: lines are counted by split first, and the counts of a file's splits added up in their order. Only
+    bad lines meet these counts, so good ones are read twice and shuffled never."""
+    lines = text_lines(spark, path)
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    bad = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return bad.join(splits, ["file", "block"]).select("file", (F.col("earlier") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One record per line that isn't blank; a bad line fails the query of whoever reads it, and the error names file and line."""
+    fault = F.format_string("%s, line %d: not JSON", "file", "line")
+    first = bad_lines(spark, path).groupBy().agg(F.min_by(fault, F.struct("file", "line")).alias("_fault"))  # one row
+    rows = text_lines(spark, path).where(F.trim("value") != "").join(F.broadcast(first))
+    checked = F.when(F.col("_fault").isNull(), F.col("value")).otherwise(F.raise_error(F.col("_fault")).cast("string"))
+    return rows.select(F.from_json(checked, schema).alias("r")).select("r.*")
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """Labels as JSON lines, attack_related renamed; critical rows must be related."""
     rows = json_lines(spark, path, "event_id string, attack_related boolean, attack_stage string, critical boolean")

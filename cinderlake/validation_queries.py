@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cinderlake.operators import validation as V
+from cinderlake.plans.stored import shared_dir
 from cinderlake.registry import twin
 from cinderlake.sources import ingest as I
+from cinderlake.sources import tables as T
 from cinderlake.sources.telemetry import TELEMETRY_SQL as SEC
 from cinderlake.sources.telemetry import telemetry
 
@@ -81,3 +85,15 @@ def raw_fields(spark, sf_dir):
     message = F.expr(_MESSAGE.replace("\\", "\\\\"))
     raw = telemetry(spark, sf_dir).select(F.col("pos").alias("event_id"), F.col("t").alias("timestamp"), F.lit("").alias("host"), F.lit("app").alias("source_type"), message.alias("raw_message"), F.lit("f").alias("source_file"))
     return I.generic(I.raw_to_generic(raw)).select(F.col("event_id").alias("pos"), *[F.array_join("resource", ",").alias("resources") if n == "resources" else n for n in _FIELDS])
+
+
+@twin(f"WITH {SEC}, l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS n FROM sec) SELECT user_id, n * 2 - 1 AS line, '{{\"pos\":' || pos || ',\"k\":' AS value FROM l WHERE pos % 23 = 0")
+def jsonl_faults(spark, sf_dir):
+    """Broken lines of JSON files, one file an account and a blank line after each record, by their number."""
+    rows = telemetry(spark, sf_dir)
+    line = F.when(F.col("pos") % 23 == 0, F.format_string('{"pos":%d,"k":', "pos")).otherwise(F.to_json(F.struct("pos", "k")))
+    folder = f"{shared_dir(spark).rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    lines = rows.repartition("user_id").sortWithinPartitions("user_id", "pos").select("user_id", F.concat(line, F.lit("\n")).alias("value"))
+    lines.write.partitionBy("user_id").text(folder)
+    found = T.bad_lines(spark, folder)
+    return found.select(F.regexp_extract("file", "user_id=([0-9]+)", 1).cast("long").alias("user_id"), "line", "value")

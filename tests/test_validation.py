@@ -61,3 +61,22 @@ def test_pairs_of_messages(spark):
     }
     rows = spark.createDataFrame([(m,) for m in said], "m string").select("m", tables.key_values(F.col("m")).alias("f"))
     assert {r.m: r.f for r in rows.collect()} == said
+
+
+def test_bad_lines_have_numbers(spark, tmp_path):
+    """Bad lines at the start, at the end and in later splits of files that are cut; blank lines count, and don't fault."""
+    good = lambda i: json.dumps({"i": i, "pad": "x" * (i % 7)})
+    first = ["{", *map(good, range(40)), "", "  ", "[1", *map(good, range(40)), "nul"]
+    for name, lines in (("a", first), ("b", [good(1), ""]), ("c", ["}"])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n" * (name == "b"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        found = {(r.file[-7:], r.line, r.value) for r in tables.bad_lines(spark, str(tmp_path)).collect()}
+        assert found == {("a.jsonl", 1, "{"), ("a.jsonl", 44, "[1"), ("a.jsonl", 85, "nul"), ("c.jsonl", 1, "}")}
+        with pytest.raises(Exception, match="a.jsonl, line 1: not JSON"):
+            tables.json_records(spark, str(tmp_path), "i int").collect()
+        assert [r.i for r in tables.json_records(spark, f"{tmp_path}/b.jsonl", "i int").collect()] == [1]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
