@@ -12,6 +12,7 @@ from cinderlake.operators import models as M
 from cinderlake.operators import normalize as N
 from cinderlake.operators import signatures as R
 from cinderlake.operators import windows as W
+from cinderlake.plans.stored import materialize
 from cinderlake.registry import twin, twins
 from cinderlake.sources.tables import events, table
 from cinderlake.streaming.filters import event_filter
@@ -219,6 +220,16 @@ def cooccurrence_pairs(spark, sf_dir):
     return G.cooccurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
+_BY_HOUR = f"WITH {EV}, p AS (SELECT DISTINCT t // 3600000000 AS g, k AS x FROM ev), e AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM p a JOIN p b USING (g) WHERE a.x < b.x GROUP BY ALL ORDER BY n DESC, 1, 2 LIMIT 40)"
+
+
+@twin(f"{_BY_HOUR}, u AS (SELECT a AS x FROM e UNION SELECT b FROM e) SELECT x, count(*) AS n FROM u JOIN p USING (x) GROUP BY x")
+def cooccurrence_nodes(spark, sf_dir):
+    """Items of the pairs that most often share an hour, and in how many hours each occurs."""
+    rows = events(spark, sf_dir).select(F.expr("t div 3600000000").alias("g"), F.col("k").alias("x"))
+    return G.cooccurrence_nodes(rows, materialize(G.cooccurrence(rows, "g", "x"), "top-pairs"), "g", "x")
+
+
 def _alerts(spark, sf_dir):
     """Threshold alerts by user and by k, keyed by the events that they cite."""
     users = W.threshold(errors(spark, sf_dir), 3, DAY).withColumn("alert", F.col("key") * 2)
@@ -549,3 +560,29 @@ def ml_importance(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     forest, line = M.importance(M.fit(rows, "forest")), M.importance(M.fit(rows, "logistic"))
     return spark.createDataFrame([(f, forest[f], line[f]) for f in M.FEATURES], "feature string, forest double, logistic double")
+
+
+#: Columns of rows by n = k % 20 that make every row rule fire in each of its ways, or miss by a little.
+_PROBES = {
+    "category": {"process": (0, 1, 2), "dns": (3, 4), "other": (5,), "cloud": (6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 17), "network": (15,), "alert": (18, 19)},
+    "api": {"GetUser": (6,), "ConsoleLogin": (7, 8), "AssumeRole": (9,), "AttachRolePolicy": (10,), "PutUserPolicy": (11,), "CreatePolicyVersion": (12,), "CreateAccessKey": (13,), "AuthorizeSecurityGroupIngress": (14,), "DeleteTrail": (16,), "UpdateTrail": (17,)},
+    "process": {"C:\\PowerShell.exe": (0, 1), "CMD.EXE": (2,)}, "parent_process": {"WinWord.exe": (2,)}, "identity_type": {"Root": (6,), "AssumedRole": (9,)}, "direction": {"inbound": (15,)}, "flow_action": {"ACCEPT": (15,)}, "vendor": {"aws-guardduty": (18, 19)},
+}
+_PROBE_TEXTS = {
+    "command_line": "CASE n WHEN 0 THEN 'powershell -NoP -W Hidden IEX ' || k WHEN 1 THEN 'x -Enc QUJDREVGR0hJSktM' || k END", "domain": "CASE n WHEN 3 THEN 'a8f3k2m9x7q1z5' || k || '.example' WHEN 4 THEN 'aaaaaaaaaaaaaa.example' END", "raw": "CASE n WHEN 5 THEN 'read LSASS memory of ' || k END",
+    "outcome": "CASE n WHEN 17 THEN 'failure' ELSE 'success' END", "username": "'User' || user_id", "mfa": "CASE n WHEN 7 THEN false END", "principal_arn": "CASE n WHEN 9 THEN 'arn:aws:iam::111:user/a' END", "source_ip": "CASE n WHEN 9 THEN '8.8.8.8' WHEN 15 THEN CASE WHEN user_id % 2 = 0 THEN '192.168.1.1' ELSE '203.0.113.9' END END",
+    "destination_port": "CASE n WHEN 15 THEN 22 END", "finding_severity": "CASE n WHEN 18 THEN 7 + user_id % 3 WHEN 19 THEN 6.9 END", "finding_type": "CASE n WHEN 18 THEN 'kind ' || k END",
+    "params": """CASE n WHEN 9 THEN '{"roleArn":"arn:aws:iam::222:role/b"}' WHEN 10 THEN '{"policyArn":"arn:aws:iam::aws:policy/AdministratorAccess"}' WHEN 11 THEN '{"policyDocument":"{broken"}' WHEN 12 THEN '{"policyDocument":"{broken"}' WHEN 13 THEN '{"userName":"u' || k || '"}' WHEN 14 THEN '{"ipPermissions":[{"cidrIpv6":"::/0","ipProtocol":"-1"}]}' END""",
+}
+
+
+@twin(f"""WITH {EV}, p AS (SELECT *, k % 20 AS n FROM ev), hit AS (SELECT pos, CASE n WHEN 0 THEN 'SOC-EXEC-001' WHEN 1 THEN 'SOC-EXEC-002' WHEN 2 THEN 'SOC-EXEC-003' WHEN 3 THEN 'SOC-DNS-001' WHEN 5 THEN 'SOC-CRED-001' WHEN 6 THEN 'CLOUD-ROOT-001' WHEN 7 THEN 'CLOUD-AUTH-001' WHEN 9 THEN 'CLOUD-IAM-001' WHEN 10 THEN 'CLOUD-IAM-002' WHEN 11 THEN 'CLOUD-IAM-002'
+    WHEN 13 THEN 'CLOUD-IAM-003' WHEN 14 THEN 'CLOUD-NET-001' WHEN 15 THEN CASE WHEN user_id % 2 = 1 THEN 'CLOUD-NET-002' END WHEN 16 THEN 'CLOUD-LOG-001' WHEN 17 THEN 'CLOUD-LOG-001' WHEN 18 THEN 'CLOUD-GD-001' END AS rule_id,
+  CASE n WHEN 3 THEN 'medium' WHEN 5 THEN 'critical' WHEN 9 THEN 'medium' WHEN 16 THEN 'critical' WHEN 17 THEN 'medium' WHEN 18 THEN CASE WHEN user_id % 3 = 2 THEN 'critical' ELSE 'high' END ELSE 'high' END AS severity,
+  CASE n WHEN 0 THEN '-nop, -w hidden, iex ' WHEN 1 THEN 16 + length(k::VARCHAR) || ' QUJDREVGR0hJSktM' WHEN 2 THEN 'winword.exe > cmd.exe' WHEN 3 THEN 'a8f3k2m9x7q1z5' || k WHEN 5 THEN 'lsass' WHEN 6 THEN 'GetUser' WHEN 7 THEN 'User' || user_id WHEN 9 THEN 'cross-account, role-chaining, external-source' WHEN 10 THEN 'arn:aws:iam::aws:policy/AdministratorAccess' WHEN 11 THEN 'PutUserPolicy'
+    WHEN 13 THEN 'u' || k WHEN 14 THEN 'ALL' WHEN 15 THEN '203.0.113.9:22' WHEN 16 THEN 'DeleteTrail' WHEN 17 THEN 'UpdateTrail' WHEN 18 THEN 'kind ' || k END AS detail FROM p) SELECT CAST(pos AS VARCHAR) AS event_id, rule_id, severity, detail FROM hit WHERE rule_id IS NOT NULL""")
+def signature_branches(spark, sf_dir):
+    """Alerts of all fourteen row rules, on rows that fire each or just miss it."""
+    named = {c: F.coalesce(*[F.when(F.col("n").isin(*ns), F.lit(v)) for v, ns in values.items()]) for c, values in _PROBES.items()}
+    rows = events(spark, sf_dir).withColumn("n", F.expr("k % 20")).select(F.col("pos").cast("string").alias("event_id"), *[v.alias(c) for c, v in named.items()], *[F.expr(x).alias(c) for c, x in _PROBE_TEXTS.items()])
+    return R.alerts(rows).select("event_id", "rule_id", "severity", "detail")

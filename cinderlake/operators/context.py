@@ -30,11 +30,19 @@ def items(events: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key").agg(F.count("*").alias("group_size"))
     counts = rows.groupBy("category", "action").agg(F.count("*").alias("action_count"))
     first = F.min(F.struct("t", "event_id", "category", "action", "outcome", "severity", "username", "hostname", "source_ip", "destination_ip", "process", "account", "resource", "principal_arn")).alias("f")
-    # One least event, one last time and a few sets a group: partial aggregates keep hot groups small.
+    # One least event, one last time and two small sets a group: partial aggregates keep hot groups small.
     grouped = join_hot(rows, sizes, "key").groupBy("key", F.when(F.col("group_size") < COLLAPSE, F.col("pos")).alias("own")).agg(
-        first, F.max("t").alias("last_t"), F.count("*").alias("n"), F.bool_or("seed").alias("detected"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.array_sort(F.collect_set("technique")).alias("techniques"), F.slice(F.array_sort(F.collect_set("username")), 1, ACTORS).alias("actors"),
+        first, F.max("t").alias("last_t"), F.count("*").alias("n"), F.bool_or("seed").alias("detected"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.array_sort(F.collect_set("technique")).alias("techniques"),
     )
-    flat = grouped.select("key", "own", "f.*", "last_t", "n", "detected", "rules", "techniques", "actors").withColumnRenamed("t", "first_t").join(F.broadcast(counts), ["category", "action"])
+    # The first names of a group are picked before they are collected, so a burst over many accounts is no long list.
+    place = F.row_number().over(Window.partitionBy("key").orderBy("username"))
+    named = rows.where("username is not null").select("key", "username").distinct().withColumn("p", place).where(F.col("p") <= ACTORS)
+    named = named.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_list("username")).alias("actors"))
+    grouped = grouped.join(named, F.col("own").isNull() & (F.col("key") == F.col("_key")), "left")
+    actors = F.coalesce("actors", F.array_compact(F.array("f.username")))
+    flat = grouped.select("key", "own", "f.*", "last_t", "n", "detected", "rules", "techniques", actors.alias("actors")).withColumnRenamed("t", "first_t")
+    kinds = counts.withColumnsRenamed({"category": "_category", "action": "_action"})
+    flat = flat.join(kinds, F.col("category").eqNullSafe(F.col("_category")) & F.col("action").eqNullSafe(F.col("_action"))).drop("_category", "_action")
     placed = numbered(flat, [F.asc("first_t"), F.asc("event_id")], "item")
     label = F.concat(F.lit("E"), F.lpad(F.col("item").cast("string"), F.greatest(F.lit(2), F.length(F.col("item").cast("string"))), F.lit("0")))
     out = placed.withColumn("id", label).withColumn("kind", F.when(F.col("n") > 1, "aggregate").otherwise("event")).withColumn("role", F.when(F.col("detected"), "detection_evidence").otherwise("context"))
