@@ -60,6 +60,13 @@ def discard(spark: SparkSession, first: int, last: int) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {item}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished jobs go before the next large shuffle.
+
+    Spark removes them once the driver's JVM has collected the plans that wrote them, which an idle driver puts off."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "n") -> DataFrame:
     """df with a gapless number from 1 in a total order, without gathering rows in one task.
 
