@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cinderlake.operators.graph import connected_components
 from cinderlake.plans.hot import join_hot
-from cinderlake.plans.stored import bucketed, discard, materialize, numbered, shared_dir, written
+from cinderlake.plans.stored import bucketed, discard, materialize, numbered, release, shared_dir, written
 
-__all__ = ["WORD", "WORD_GAP", "bucketed", "col", "connected_components", "discard", "id_crc_mod", "join_hot", "materialize", "numbered", "shared_dir", "small_batches", "words", "written"]
+__all__ = ["WORD", "WORD_GAP", "bucketed", "col", "connected_components", "discard", "id_crc_mod", "join_hot", "materialize", "numbered", "release", "shared_dir", "small_batches", "words", "written"]
 
 #: Separators between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
