@@ -343,3 +343,21 @@ def test_one_row_of_each_group_stays(spark):
     want = [(1, first(a, near(a))), (1, b), (None, first(c, near(c))), (None, None), (None, None), (None, " "), (4, None), (5, " ")]
     assert [g for g in got if g[0] != 4] == sorted((w for w in want if w[0] != 4), key=repr)
     assert sum(g[0] == 4 for g in got) == 1 and all(not (t or "").strip() for i, t in got if i == 4)
+
+
+def test_as_many_rows_stay_as_there_are_components(spark):
+    """Groups of one to five near copies, some linked only through one another."""
+    from cinderlake.llm import jaccard
+
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(150):
+        words = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(rnd.choice([8, 30, 120]))]
+        for _ in range(rnd.randint(1, 5)):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for _ in range(max(1, len(words) // 60)):
+                words[rnd.randrange(len(words))] = f"w{rnd.random()}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    components = {r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert {r.doc_id for r in jaccard.deduplicated(docs).collect()} == components
