@@ -86,10 +86,12 @@ def redacted_texts(texts: DataFrame, context: str) -> tuple[DataFrame, DataFrame
 
     Values of secret fields go. In all other texts secrets of every pattern go; key ids, mail addresses and account numbers
     get pseudonyms, and so do the values of identifier fields wherever they turn up in a text of the context, inside a
-    longer token too. Pseudonyms are numbered by kind in order of `place` and path."""
+    longer token too. Pseudonyms are numbered by kind in order of `place` and path. A column `kind`, if there is one, says of some
+    texts that they are identifiers of that kind, whatever their field is called."""
     name = last_name(F.col("path"))
     secret = name.isin(policy.SECRET_FIELDS) | F.coalesce(name.rlike(f"({'|'.join(policy.SECRET_ENDINGS)})$"), F.lit(False))
     field = F.coalesce(*[F.when(name == n, F.lit(k)) for n, k in policy.PSEUDONYM_FIELDS.items()])
+    field = F.coalesce("kind", field) if "kind" in texts.columns else field
     rows = texts.withColumn("_secret", secret).withColumn("_kind", F.when(~secret & (F.col("text") != ""), field))
     rows = rows.withColumn("_old", F.col("text")).withColumn("text", F.when(F.col("_secret"), "[REDACTED_SECRET_FIELD]").when(F.col("_kind").isNull(), policy.destroyed(F.col("text"))).otherwise(F.col("text")))
     rows = materialize(rows, "texts")

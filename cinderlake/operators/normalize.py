@@ -98,11 +98,15 @@ def normalized(rows: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField(h, T.VariantType()) for h in HEADS])
     valid = rows.where(object_text(F.col("raw")))
     parsed = valid.select("pos", F.from_json("raw", schema).alias("_e")).select("pos", *[F.col(f"_e.`{h}`").alias(f"h_{i}") for i, h in enumerate(HEADS)])
-    found = parsed.select("pos", *[looked_up(n).alias(f"_{n}") for n in ALIASES])
+    return coerced(parsed.select("pos", *[looked_up(n).alias(f"_{n}") for n in ALIASES]))
+
+
+def coerced(found: DataFrame, *keep: str) -> DataFrame:
+    """found(pos, *keep, _<name> ...), a variant for every name in ALIASES, to typed columns and issues, as normalized() says."""
     # Kinds and texts are named once, behind inline(): filters and projections above it would otherwise be pushed
     # down with all lookups written out again in every place.
     named = [F.col(f"_{n}") for n in ALIASES] + [kind(F.col(f"_{n}")).alias(f"_k_{n}") for n in ALIASES] + [as_text(F.col(f"_{n}")).alias(f"_t_{n}") for n in ALIASES]
-    found = found.select("pos", F.inline(F.array(F.struct(*named))))
+    found = found.select("pos", *keep, F.inline(F.array(F.struct(*named))))
     out, issues = {}, []
     plain = lambda n: F.col(f"_k_{n}").isin("text", "number")
     text = lambda n: F.col(f"_t_{n}")
@@ -135,10 +139,10 @@ def normalized(rows: DataFrame) -> DataFrame:
     technique = F.transform(words("technique"), lambda x: F.upper(x))
     out["technique"] = F.coalesce(F.array_distinct(F.filter(technique, lambda x: x.rlike(r"^T\d{4}(\.\d{3})?$"))), none)
     issues.append(F.when(F.col("_k_severity").isNotNull() & rank.isNull(), "invalid_severity"))
-    step = found.select("pos", *[out[n].alias(n) for n in ALIASES], *[f"_k_{n}" for n in ALIASES], F.array_compact(F.array(*issues)).alias("_issues"))
+    step = found.select("pos", *keep, *[out[n].alias(n) for n in ALIASES], *[f"_k_{n}" for n in ALIASES], F.array_compact(F.array(*issues)).alias("_issues"))
     bad = [F.when(F.col(f"_k_{end}_{what}").isNotNull() & F.col(f"{end}_{what}").isNull(), f"invalid_{what}:{end}_{what}") for what in ("ip", "port") for end in ("source", "destination")]
     untimed = F.when(F.col("_k_timestamp").isNull(), "missing:timestamp").when(F.col("timestamp").isNull(), "invalid:timestamp")
-    return step.select("pos", *ALIASES, F.concat("_issues", F.array_compact(F.array(*bad, untimed))).alias("issues"))
+    return step.select("pos", *keep, *ALIASES, F.concat("_issues", F.array_compact(F.array(*bad, untimed))).alias("issues"))
 
 
 def rejected(rows: DataFrame) -> DataFrame:
