@@ -11,6 +11,7 @@ from cinderlake.functions import text as X
 from cinderlake.operators import windows
 from cinderlake.operators.evidence import BANDS, SEVERITY_POINTS
 from cinderlake.operators.graph import connected_components
+from cinderlake.plans.hot import join_hot
 from cinderlake.plans.stored import materialize, numbered
 
 #: Tactics in kill-chain order, and each technique with its name and tactic.
@@ -196,6 +197,41 @@ def relevant_events(events: DataFrame, incidents: DataFrame, owned: DataFrame, e
     return near.join(cited.select("incident_id", "pos"), ["incident_id", "pos"], "left_anti")
 
 
+def details(owned: DataFrame, incidents: DataFrame, evidence: DataFrame, risk: DataFrame) -> dict[str, DataFrame]:
+    """What one sees of an incident, as frames of (incident_id, o1, o2, item), item a JSON object; o1 and o2 are their order.
+
+    incident: title, severity, span and numbers; risk; alert: by severity, rule and id; chain: alerts by first evidence, with tactics;
+    mitre: techniques with their rules and alerts; timeline: cited events in time; entity: names without their kind.
+    Rows, not lists: an incident with a third of all alerts is many rows, never one."""
+    c, text = F.col, lambda n: F.lpad(F.col(n).cast("string"), 19, "0")
+    said = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("item")
+    shown = lambda rows, o1, o2, *names: rows.select("incident_id", o1.cast("long").alias("o1"), o2.alias("o2"), said(*names))
+    cited = evidence.join(owned.select("alert_id", "incident_id"), "alert_id")
+    events = cited.groupBy("incident_id", "pos").agg(*[F.min(n).alias(n) for n in ("t", "event_id", "action", "outcome")], F.count("*").alias("n_alerts"))
+    used = owned.where("technique is not null").groupBy("incident_id", "technique").agg(F.countDistinct("rule_id").alias("n_rules"), F.count("*").alias("n_alerts"))
+    names = cited.select("incident_id", F.explode("entities").alias("e")).select("incident_id", F.regexp_replace("e", "^[a-z]+:", "").alias("value")).distinct()
+    one, none = F.lit(0), F.lit("")
+    return {
+        "incident": shown(incidents, one, none, "title", "severity", "first_t", "last_t", "n_alerts", "n_events", "n_hosts"),
+        "risk": shown(risk, one, none, "score", "band", "factors"),
+        "alert": shown(owned, -c("severity"), F.concat_ws(" ", "rule_id", "alert_id"), "alert_id", "rule_id", "severity", "first_t", "n_events"),
+        "chain": shown(owned.withColumn("tactic", tactic_of(c("technique"))), c("first_t"), text("number"), "alert_id", "technique", "tactic"),
+        "mitre": shown(used, one, c("technique"), "technique", "n_rules", "n_alerts"),
+        "timeline": shown(events, c("t"), text("pos"), "event_id", "action", "outcome", "n_alerts"),
+        "entity": shown(names, one, c("value"), "value"),
+    }
+
+
+def bundle(frames: dict[str, DataFrame]) -> DataFrame:
+    """(incident_id, section, place, item) of details(); place counts from 1 in each section of an incident.
+
+    All rows are numbered at once by range partitions, so a hot incident isn't one task."""
+    rows = reduce(DataFrame.union, [f.select("incident_id", F.lit(n).alias("section"), "o1", "o2", "item") for n, f in frames.items()])
+    placed = materialize(numbered(rows, [F.asc("incident_id"), F.asc("section"), F.asc("o1"), F.asc("o2")], "n").withColumn("key", F.concat_ws(" ", "incident_id", "section")), "bundle")
+    firsts = placed.groupBy("key").agg(F.min("n").alias("first"))
+    return join_hot(placed, firsts, "key").select("incident_id", "section", (F.col("n") - F.col("first") + 1).alias("place"), "item")
+
+
 def unify(*frames: DataFrame) -> DataFrame:
     """All rows of several datasets, whatever columns each lacks."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

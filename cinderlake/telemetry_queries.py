@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cinderlake import registry
 from cinderlake.operators import correlation as C
 from cinderlake.operators import entities as N
 from cinderlake.operators import evidence as E
@@ -278,6 +279,23 @@ def incident_risk(spark, sf_dir):
     return C.risk_factors(*C.incidents_of(evidence), evidence)
 
 
+def _object(*names: str) -> str:
+    return "CAST(to_json(struct_pack(" + ", ".join(f"{n} := {n}" for n in names) + ")) AS VARCHAR)"
+
+
+@twin(f"""WITH RECURSIVE {_ROLLUP}, risk AS ({registry.twins["incident_risk"]}), ow AS (SELECT *, {_TACTIC_SQL} AS tactic FROM owned), mi AS (SELECT incident_id, technique, count(DISTINCT rule_id) AS n_rules, count(*) AS n_alerts FROM owned WHERE technique IS NOT NULL GROUP BY ALL),
+  tl AS (SELECT incident_id, pos, t, event_id, action, outcome, count(*) AS n_alerts FROM cited GROUP BY ALL), en AS (SELECT DISTINCT incident_id, substr(e, instr(e, ':') + 1) AS value FROM (SELECT incident_id, unnest(entities) AS e FROM cited)),
+  u AS (SELECT incident_id, 'incident' AS section, 0 AS o1, '' AS o2, {_object("title", "severity", "first_t", "last_t", "n_alerts", "n_events", "n_hosts")} AS item FROM inc UNION ALL SELECT incident_id, 'risk', 0, '', {_object("score", "band", "factors")} FROM risk
+    UNION ALL SELECT incident_id, 'alert', -severity, rule_id || ' ' || alert_id, {_object("alert_id", "rule_id", "severity", "first_t", "n_events")} FROM owned UNION ALL SELECT incident_id, 'chain', number, '', {_object("alert_id", "technique", "tactic")} FROM ow
+    UNION ALL SELECT incident_id, 'mitre', 0, technique, {_object("technique", "n_rules", "n_alerts")} FROM mi UNION ALL SELECT incident_id, 'timeline', row_number() OVER (ORDER BY t, pos), '', {_object("event_id", "action", "outcome", "n_alerts")} FROM tl UNION ALL SELECT incident_id, 'entity', 0, value, {_object("value")} FROM en)
+  SELECT incident_id, section, row_number() OVER (PARTITION BY incident_id, section ORDER BY o1, o2) AS place, item FROM u""")
+def incident_detail(spark, sf_dir):
+    """Everything about each incident by section: summary, risk, alerts, chain, techniques, timeline and entities."""
+    evidence = _evidence(spark, sf_dir)
+    owned, incidents = C.incidents_of(evidence)
+    return C.bundle(C.details(owned, incidents, evidence, C.risk_factors(owned, incidents, evidence)))
+
+
 _NAMES = "CASE technique " + " ".join(f"WHEN '{k}' THEN '{k} ({n.replace(chr(39), chr(39) * 2)}, {t})'" for k, (n, t) in C.TECHNIQUES.items()) + " END"
 
 
