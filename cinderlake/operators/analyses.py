@@ -35,7 +35,7 @@ def citations(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id, incident, path, claim, classification, cited, bad, event_ids, supported) of each citation of docs(id, incident, v).
 
     evidence(incident, evidence_id, event_id) resolves ids. A claim is supported if it cites evidence of its incident, or recommends
-    something and cites nothing wrong. event_ids are those of the evidence it cites, once each, in the order of citation."""
+    something and cites nothing wrong. event_ids are those of the evidence it cites and bad the ids of none, once each, in the order of citation."""
     docs = docs.withColumn("path", F.lit("$"))
     rows = parts(docs, "v", "citations", "id", "incident").drop("i")
     given = F.upper(F.coalesce(text(F.col("e"), "$.classification"), F.lit("")))
@@ -46,11 +46,13 @@ def citations(docs: DataFrame, evidence: DataFrame) -> DataFrame:
     # A citation may name much evidence and evidence stand for many events: resolved as rows, gathered per citation.
     known = evidence.select(F.col("incident").alias("_n"), F.col("evidence_id").alias("_e"), "event_id")
     met = ids.join(known, (F.col("incident") == F.col("_n")) & (F.col("evidence_id") == F.col("_e")), "left")
-    firsts = met.groupBy("id", "p", "event_id").agg(F.min(F.struct("i", "event_id")).alias("first"), F.collect_set(F.when(F.col("_e").isNull(), F.col("evidence_id"))).alias("bad"))
-    found = firsts.groupBy("id", "p").agg(F.array_sort(F.collect_list(F.when(F.col("event_id").isNotNull(), F.col("first")))).alias("good"), F.flatten(F.collect_list("bad")).alias("bad"))
+    met = met.withColumn("unknown", F.when(F.col("_e").isNull(), F.col("evidence_id")))
+    firsts = met.groupBy("id", "p", "event_id", "unknown").agg(F.min("i").alias("i"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("i", F.col(c).alias("v"))))), lambda x: x["v"])
+    found = firsts.groupBy("id", "p").agg(listed("event_id").alias("good"), listed("unknown").alias("bad"))
     out = rows.join(found.withColumnsRenamed({"id": "_id"}), (F.col("id") == F.col("_id")) & (F.col("path") == F.col("p")), "left")
     none = F.array().cast("array<string>")
-    events, bad = F.coalesce(F.transform("good", lambda x: x["event_id"]), none), F.array_sort(F.coalesce("bad", none))
+    events, bad = F.coalesce("good", none), F.coalesce("bad", none)
     stands = (F.size(events) > 0) | ((F.col("classification") == "AI_RECOMMENDATION") & (F.size(bad) == 0))
     return out.select("id", "incident", "path", "claim", "classification", events.alias("event_ids"), bad.alias("bad"), stands.alias("supported"))
 

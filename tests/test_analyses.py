@@ -63,3 +63,11 @@ def test_every_check(spark):
     assert {i: sorted(g, key=str) for i, g in got.items()} == {i: sorted(w, key=str) for i, w in want.items()}
     said = {(r.id, r.path): (r.classification, r.event_ids, r.bad, r.supported) for r in analyses.citations(rows, evidence).collect()}
     assert said[n - 1, "$.citations[0]"] == ("OBSERVED", ["e1", "e2", "e3"], ["E9"], True) and said[n - 1, "$.citations[1]"] == ("AI_RECOMMENDATION", [], [], True)
+
+
+def test_unknown_ids_keep_the_order_of_citation(spark):
+    doc = json.dumps({"citations": [{"claim": "c", "evidence_ids": ["E50", "E160x", "E1", "E160x", "E50", "E2"]}]})
+    rows = spark.createDataFrame([(1, doc)], "id long, j string").select("id", F.lit("inc-1").alias("incident"), F.parse_json("j").alias("v"))
+    evidence = spark.createDataFrame([("inc-1", "E1", "e9"), ("inc-1", "E2", "e3")], "incident string, evidence_id string, event_id string")
+    said = analyses.citations(rows, evidence).first()
+    assert said.bad == ["E50", "E160x"] and said.event_ids == ["e9", "e3"]
