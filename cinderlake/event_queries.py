@@ -173,13 +173,17 @@ def pair_overlap(spark, sf_dir):
     return J.overlap(sets, sets, _near(spark, sf_dir).select(F.col("pos").alias("a"), F.col("ref").alias("b")))
 
 
+#: Sums of doubles depend on their order: this is the twin's.
+_ADDED = ["detection_match", "within_5_minutes", "severity", "rarity", "within_1_hour"]
+
+
 def _scored(spark, sf_dir):
     rows = events(spark, sf_dir)
     rarity = W.frequency(rows, ["event_type", "k"]).select("event_type", "k", "rarity")
     near = J.temporal_features(_near(spark, sf_dir)).select("pos", "within_5_minutes", "within_1_hour")
     features = rows.join(rarity, ["event_type", "k"]).join(near, "pos", "left")
     features = features.select("pos", "t", "event_type", "user_id", "k", F.col("seed").alias("has_detection"), F.col("seed").cast("int").alias("detection_match"), (F.col("severity") / 4).alias("severity"), "rarity", "within_5_minutes", "within_1_hour")
-    return features.withColumn("score", F.round(E.rule_score(features), 6))
+    return features.withColumn("score", E.rounded(E.rule_score(features, _ADDED)))
 
 
 _SCORED = NEAR + f""", freq AS (SELECT event_type, k, round(1 - ln(1 + count(*)) / ln(1 + (SELECT count(*) FROM ev)), 6) AS rarity FROM ev GROUP BY ALL),
