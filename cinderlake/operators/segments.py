@@ -1,10 +1,12 @@
-"""Numbers in intervals: a join that neither broadcasts nor crosses, segment audits, and coverage of event sets by bitmaps."""
+"""Numbers in intervals: a join that neither broadcasts nor crosses, counts without pairs, segment audits, and coverage of event sets by bitmaps."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderlake.plans.stored import materialize
+
 #: Blocks of a level are this many of the level below; levels beyond a long don't exist.
 FAN, LEVELS = 64, 11
 
@@ -40,20 +42,51 @@ def stabbed(points: DataFrame, number: str, intervals: DataFrame) -> DataFrame:
     return tried.join(cut, ["_level", "_block"]).drop("_level", "_block")
 
 
+def swept(points: DataFrame, number: str, intervals: DataFrame, tallies: dict[str, Column]) -> DataFrame:
+    """(_at, _side, _open, intervals' columns, tallies): points and both ends of the closed intervals(lo, hi, ...) in one order.
+
+    _side is -1 where an interval begins (before the points of its lo), 0 for a point and 1 where one ends (behind those of its hi).
+    A tally is how many points up to here meet its condition, _open how many intervals are open: what lies in an interval is a difference
+    of two rows, and no pair of a point and an interval is made. Linear after the sort, in range partitions. Points should be unique by
+    number: equal ones meet in one task. Empty intervals and those with a null end have no rows, nor do points without a number."""
+    names = [*tallies, "_open"]
+    steps = [F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in tallies.items()]
+    at = points.where(F.col(number).isNotNull()).select(F.col(number).cast("long").alias("_at"), F.lit(0).alias("_side"), *steps, F.lit(0).cast("long").alias("_open"))
+    end = lambda c, side: F.struct(F.col(c).cast("long").alias("_at"), F.lit(side).alias("_side"), F.lit(-side).cast("long").alias("_open"))
+    ends = intervals.where("lo <= hi").select("*", F.inline(F.array(end("lo", -1), end("hi", 1)))).withColumns({n: F.lit(0).cast("long") for n in tallies})
+    both = at.unionByName(ends, allowMissingColumns=True)
+    # Ends at one number are alike, so any order of theirs does; with one they can be dealt to several partitions.
+    order = ["_at", "_side", F.xxhash64(*intervals.columns)]
+    ranged = materialize(both.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "swept")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    before = ranged.groupBy("_part").agg(*[F.sum(n).alias(n) for n in names]).select("_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before") for n in names])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = ranged.withColumns({n: F.sum(n).over(inside) for n in names}).join(F.broadcast(before), "_part")
+    return running.select("_at", "_side", *intervals.columns, *[(F.col(n) + F.col(f"{n}_before")).alias(n) for n in names])
+
+
+def merged(intervals: DataFrame, *keys: str) -> DataFrame:
+    """(keys, lo, hi): the numbers of a key's closed intervals as intervals that don't overlap."""
+    w = Window.partitionBy(*keys).orderBy("lo", "hi")
+    apart = F.coalesce(F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
+    return intervals.where("lo <= hi").withColumn("_new", apart).withColumn("_run", F.sum("_new").over(w)).groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
 def segment_audit(events: DataFrame, segments: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(by segment, twice): segments(segment, stage, lo, hi) against events(n, ...), whose numbers are unique.
 
     By segment: n_events in it, n_missing numbers without an event, n_broken events that don't meet the rule of its stage (a
     condition on events; unknown counts as broken, a stage without a rule has no condition). twice: (n, n_segments) of numbers in several segments."""
-    meets = F.lit(True)
-    for stage, rule in rules.items():
-        meets = F.when(F.col("stage") == stage, F.coalesce(F.expr(rule), F.lit(False))).otherwise(meets)
-    held = stabbed(events, "n", segments).withColumn("meets", meets)
-    counted = held.groupBy(F.col("segment").alias("_s")).agg(F.count("*").alias("n_events"), F.count_if(~F.col("meets")).alias("n_broken"))
+    wrong = {f"_r{i}": ~F.coalesce(F.expr(rule), F.lit(False)) for i, rule in enumerate(rules.values())}
+    rows = swept(events, "n", segments, {"_n": F.lit(True)} | wrong)
+    broken = F.lit(0).cast("long")
+    for stage, tally in zip(rules, wrong):
+        broken = F.when(F.col("stage") == stage, F.col(tally)).otherwise(broken)
+    counted = rows.where("_side <> 0").groupBy(F.col("segment").alias("_s")).agg(F.sum(F.col("_side") * F.col("_n")).alias("n_events"), F.sum(F.col("_side") * broken).alias("n_broken"))
     zero = lambda n: F.coalesce(n, F.lit(0).cast("long"))
     size = F.coalesce(F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0)), F.lit(0)).cast("long")
     out = segments.join(counted, F.col("segment") == F.col("_s"), "left").select("segment", "stage", zero("n_events").alias("n_events"), (size - zero("n_events")).alias("n_missing"), zero("n_broken").alias("n_broken"))
-    return out, held.groupBy("n").agg(F.count("*").alias("n_segments")).where("n_segments > 1")
+    return out, rows.where("_side = 0 and _open > 1").select(F.col("_at").alias("n"), F.col("_open").alias("n_segments"))
 
 
 def bitmaps(rows: DataFrame, *groups: str, pos: str = "pos") -> DataFrame:

@@ -51,3 +51,30 @@ def test_retention(spark):
     got = {r.who: r for r in segments.retention(covered, "who").collect()}
     assert got["whole"].n_preserved == 16 and got["whole"].retention_percent == got["whole"].citation_percent == 100.0 and got["whole"].missing == ""
     assert got["one"].n_facts == 16 and got["one"].n_preserved == 3 and "F03" not in got["one"].missing and "F00" in got["one"].missing
+
+
+def test_swept(spark):
+    """Counts without pairs: nested, empty, huge, equal and negative segments, and ends at one number in several partitions."""
+    rnd = random.Random(4)
+    spans = [(i, a, a + rnd.choice([-1, 0, 10, 200, 10**12])) for i, a in enumerate(rnd.randrange(-50, 3000) for _ in range(300))] + [(300, 5, 50), (301, 5, 50), (302, None, 9)]
+    numbers = [*range(-60, 2000, 3), 10**12, None]
+    points = spark.createDataFrame([(n,) for n in numbers], "n long")
+    rows = segments.swept(points, "n", spark.createDataFrame(spans, "segment long, lo long, hi long"), {"odd": F.expr("n % 2 <> 0"), "any": F.lit(True)}).collect()
+    got = {}
+    for r in rows:
+        if r._side:
+            one = got.setdefault(r.segment, [0, 0])
+            one[0], one[1] = one[0] + r._side * r.odd, one[1] + r._side * r.any
+    inside = lambda lo, hi: [n for n in numbers if n is not None and lo <= n <= hi]
+    assert got == {s: [sum(n % 2 for n in inside(lo, hi)), len(inside(lo, hi))] for s, lo, hi in spans if lo is not None and lo <= hi}
+    assert {r._at: r._open for r in rows if not r._side} == {n: sum(lo is not None and lo <= n <= hi for _, lo, hi in spans) for n in numbers if n is not None}
+
+
+def test_audit_makes_no_pairs(spark, monkeypatch):
+    """4,000 nested segments over 4,000 events would be 8 million pairs."""
+    monkeypatch.setattr(segments, "stabbed", None)
+    events = spark.range(4000).select(F.col("id").alias("n"), (F.col("id") % 2).alias("kind"))
+    parts = spark.range(4000).select(F.col("id").alias("segment"), F.lit("a").alias("stage"), F.col("id").alias("lo"), F.lit(10**12).alias("hi"))
+    got, twice = segments.segment_audit(events, parts, {"a": "kind = 0"})
+    assert {(r.segment, r.n_events, r.n_broken) for r in got.collect()} == {(i, 4000 - i, (4000 - i + 1) // 2) for i in range(4000)}
+    assert {tuple(r) for r in twice.collect()} == {(i, i + 1) for i in range(1, 4000)}
