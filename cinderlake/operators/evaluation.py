@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlake.operators.segments import stabbed
+from cinderlake.operators.segments import merged, swept
 from cinderlake.plans.stored import materialize
 
 #: Ids of a stage are listed as ranges inside buckets of so many neighbouring numbers first.
@@ -66,8 +66,9 @@ def attack_path(audit: DataFrame, rows: DataFrame) -> DataFrame:
     An audit that counts other selected events than there are is stale: the query then fails and names the stage, whoever reads
     its result, as the check is a part of every row. Stages without events have zeros. Ranges are closed; a stage may have several rows."""
     parts = materialize(audit, "audit")
-    held = stabbed(rows, "n", parts.select(F.col("stage").alias("_stage"), "lo", "hi")).select("_stage", "n", "chosen", "related").distinct()
-    counted = held.groupBy("_stage").agg(F.count_if("related").alias("attack_events"), F.count_if(F.col("related") & F.col("chosen")).alias("found"), F.count("*").alias("n"))
+    hit = F.col("related") & F.col("chosen")
+    ends = swept(rows, "n", merged(parts.select(F.col("stage").alias("_stage"), "lo", "hi"), "_stage"), {"attack_events": F.col("related"), "found": hit, "n": F.lit(True)}).where("_side <> 0")
+    counted = ends.groupBy("_stage").agg(*[F.sum(F.col("_side") * F.col(c)).alias(c) for c in ("attack_events", "found", "n")])
     said = parts.groupBy("stage").agg(F.min("position").alias("position"), F.max("selected").alias("said"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     met = said.join(counted, F.col("stage") == F.col("_stage"), "left").withColumns({c: zero(c) for c in ("attack_events", "found", "n")})

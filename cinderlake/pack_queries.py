@@ -207,7 +207,6 @@ def attack_path(spark, sf_dir):
     rows = telemetry(spark, sf_dir)
     ranges = spark.sql(_AUDIT.format("{e}"), e=rows)
     # The audit counts for itself.
-    run = rows.select("pos", F.expr(f"CAST(({_RELATED}) AND ({_CHOSEN}) AS INT)").alias("hit")).where("hit = 1")
-    at = S.stabbed(run, "pos", ranges)
-    audit = ranges.join(at.groupBy("stage").agg(F.count("*").alias("selected")), "stage", "left").fillna(0, ["selected"])
+    ends = S.swept(rows.select("pos", "k", "seed", "severity"), "pos", ranges, {"hits": F.expr(f"({_RELATED}) AND ({_CHOSEN})")}).where("_side <> 0")
+    audit = ranges.join(ends.groupBy("stage").agg(F.sum(F.col("_side") * F.col("hits")).alias("selected")), "stage", "left").fillna(0, ["selected"])
     return E.attack_path(audit, _judged(spark, sf_dir).where("present"))

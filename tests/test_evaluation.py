@@ -43,3 +43,12 @@ def test_transitions(spark):
     audit = spark.createDataFrame([("a", 1, 10, 20), ("b", 2, 5, 30), ("c", 3, 40, 50)], "stage string, position int, first_t long, last_t long")
     held = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y"), ("b", "z"), ("c", "q"), ("b", "y"), ("b", "y")], "stage string, entity string")
     assert {tuple(r) for r in evaluation.transitions(held, audit).collect()} == {("a", "b", "x,y", False), ("b", "c", "", True)}
+
+
+def test_path_makes_no_pairs(spark):
+    """Ranges of a stage that overlap count a number once; numbers under 0 count too; no join of numbers with ranges."""
+    rows = judged(spark, [-3, 2], range(-5, 5), [(n, True, "s", False) for n in (-3, 1, 2)])
+    audit = spark.createDataFrame([("a", 1, -5, 2, 2), ("a", 1, 0, 3, 2), ("a", 1, 1, 1, 2), ("b", 2, 4, 3, 0)], "stage string, position int, lo long, hi long, selected long")
+    path = evaluation.attack_path(audit, rows)
+    assert sorted((r.stage, r.attack_events, r.selected, r.missed) for r in path.collect()) == [("a", 3, 2, 7), ("b", 0, 0, 0)]
+    assert not hasattr(evaluation, "stabbed")
