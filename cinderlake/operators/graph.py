@@ -15,6 +15,8 @@ from cinderlake.plans.stored import materialize
 LINK_SECONDS, NEIGHBOURS = 3600, 3
 #: Pairs that are reported, and items of a group up to which all its pairs are counted at once.
 TOP_PAIRS, SMALL_GROUP = 40, 64
+#: Rows of small groups whose pairs one task counts.
+PART_ROWS = 1_000_000
 
 
 def contracted(edges: DataFrame, portion: int = 1_000_000) -> DataFrame:
@@ -135,18 +137,23 @@ def without_detection(events: DataFrame, members: DataFrame) -> DataFrame:
 def cooccurrence(pairs: DataFrame, group: str, item: str, top: int = TOP_PAIRS) -> DataFrame:
     """The `top` most frequent unordered pairs of items in a group; ties by the items. Nulls are in no group or no item.
 
-    Pairs of groups of SMALL_GROUP items at most are counted first; the least count of their best `top` bounds what can be among the
+    Pairs of groups of SMALL_GROUP items at most are counted first, from lists, in parts of PART_ROWS rows; the least count of their best `top` bounds what can be among the
     best of all. A pair occurs as often as its rarer item at most, so larger groups keep only items that reach the bound. Those that are
     still large are cut into blocks of items and meet by pairs of blocks, counted where they meet, so no task holds a group."""
     held = materialize(pairs.select(F.col(group).alias("g"), F.col(item).alias("x")).where("g is not null and x is not null").distinct(), "pairs")
-    sizes = held.groupBy("g").agg(F.count("*").alias("m"))
-    small = sizes.where(F.col("m") <= SMALL_GROUP)
-    few = join_hot(held, small, "g").select("g", "x")
-    counted = few.select("g", F.col("x").alias("a")).join(few.select("g", F.col("x").alias("b")), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    sizes = materialize(held.groupBy("g").agg(F.count("*").alias("m")), "sizes")
+    often_of = sizes.select("g", F.col("m").alias("n"))
+    few = join_hot(held, sizes.where(F.col("m") <= SMALL_GROUP), "g", counts=often_of).select("g", "x")
+    # Parts grow in number with the rows, not in size. A part counts its pairs by itself, so a frequent pair is one row a part.
+    parts = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // PART_ROWS))
+    dealt = few.withColumn("part", F.pmod(F.xxhash64("g"), F.lit(16 * parts))).repartition(parts, "part")
+    lists = dealt.groupBy("part", "g").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("part", "xs", F.posexplode("xs").alias("i", "a"))
+    counted = lists.select("part", "a", F.explode(F.slice("xs", F.col("i") + 2, F.lit(SMALL_GROUP))).alias("b")).groupBy("part", "a", "b").agg(F.count("*").alias("n"))
+    counted = counted.repartition(parts, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "counted")
     best = counted.orderBy(F.desc("n")).limit(top).agg(F.when(F.count("*") == top, F.min("n")).otherwise(1).alias("bound"))
     often = held.groupBy("x").agg(F.count("*").alias("often")).join(F.broadcast(best)).where("often >= bound").select("x")  # one row
-    large = join_hot(held, sizes.where(F.col("m") > SMALL_GROUP).select("g"), "g")
+    large = join_hot(held, sizes.where(F.col("m") > SMALL_GROUP).select("g"), "g", counts=often_of)
     large = materialize(large.join(often, "x", "left_semi"), "large")
     k = large.groupBy("g").agg(F.ceil(F.count("*") / SMALL_GROUP).alias("k"))
     dealt = join_hot(large, k, "g").withColumn("own", F.pmod(F.xxhash64("x"), F.col("k"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
@@ -154,7 +161,7 @@ def cooccurrence(pairs: DataFrame, group: str, item: str, top: int = TOP_PAIRS)
     left, right = dealt.withColumnsRenamed({"x": "a", "own": "p"}), dealt.withColumnsRenamed({"x": "b", "own": "q"})
     # In a pair of different blocks an item of one meets those of the other.
     more = left.join(right, ["g", "lo", "hi"]).where("a < b and (lo = hi or p <> q)").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return counted.union(more).groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(top)
+    return counted.union(more).repartition(parts, "a", "b").groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").limit(top)
 
 
 def cooccurrence_nodes(pairs: DataFrame, edges: DataFrame, group: str, item: str) -> DataFrame:
