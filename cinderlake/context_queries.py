@@ -12,6 +12,7 @@ from cinderlake.operators import context as K
 from cinderlake.operators import correlation as C
 from cinderlake.operators import documents as D
 from cinderlake.operators import windows as W
+from cinderlake.plans.stored import materialize
 from cinderlake.registry import twin
 from cinderlake.sources import ingest as I
 from cinderlake.sources.tables import table
@@ -105,7 +106,8 @@ MSG = SEC + f", msg AS (SELECT *, {_MESSAGE} AS message FROM sec)"
 
 
 def _messages(spark, sf_dir):
-    return telemetry(spark, sf_dir).withColumn("message", F.expr(_MESSAGE))
+    # Behind inline() a message is made once, whatever asks for it.
+    return telemetry(spark, sf_dir).select("*", F.inline(F.array(F.struct(F.expr(_MESSAGE).alias("message")))))
 
 
 def _re2(pattern: str) -> str:
@@ -158,7 +160,7 @@ def pseudonym_dictionary(spark, sf_dir):
 def pseudonymize_messages(spark, sf_dir):
     """Messages with pseudonyms in the place of identifiers."""
     rows = _contexts(spark, sf_dir)
-    names = P.dictionary(rows, "user_id", "message").drop("kind")
+    names = materialize(P.dictionary(rows, "user_id", "message").drop("kind"), "names")
     return D.swapped(rows, names, "pos", "user_id", "message").select("pos", F.col("message").alias("text"))
 
 
