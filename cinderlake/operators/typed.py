@@ -34,9 +34,9 @@ def source_address() -> Column:
     return F.coalesce(texts_only(detail("source_ip")), texts_only(at("host.ip")))
 
 
-def resource_names() -> Column:
+def resource_names(v: str = "v", path: str = "$.cloud.resources") -> Column:
     """The texts among a cloud event's resources, in order."""
-    items = F.try_variant_get("v", "$.cloud.resources", "array<variant>")
+    items = F.try_variant_get(v, path, "array<variant>")
     return F.coalesce(F.transform(F.filter(items, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
 
 
@@ -89,19 +89,30 @@ def item_fields(docs: DataFrame, key: str, context: str, most: int = LONGEST_TEX
     `fields` holds what the source structured, keys in order, empty ones left out; `untrusted` holds free text, clipped to
     `most` characters after redaction. Names of persons, accounts and keys are pseudonyms of the context, numbered by place;
     texts lose secrets and known names, as redacted_texts() says. A destination without port ends in None. key is unique."""
-    said = lambda p: F.try_variant_get("v", f"$.{p}", "string")
-    text = {
-        "category": text_of("category"), "action": text_of("action"), "outcome": text_of("outcome"), "severity": text_of("severity"), "source": text_of("source"), "host": said("host.hostname"), "username": said("user.name"), "source_ip": F.try_variant_get(source_address(), "$", "string"),
-        "destination_ip": F.try_variant_get(texts_only(detail("destination_ip")), "$", "string"), "destination_port": F.when(F.schema_of_variant(detail("destination_port")) == "BIGINT", F.try_variant_get(detail("destination_port"), "$", "string")), "api_call": text_of("cloud.event_name"), "service": text_of("cloud.event_source"),
-        "identity_type": text_of("cloud.identity_type"), "account": text_of("cloud.account_id"), "principal": text_of("cloud.principal_arn"), "session_issuer": text_of("cloud.session_issuer_arn"), "access_key": text_of("cloud.access_key_id"), "minted_access_key": text_of("cloud.response_elements.accessKeyId"), "error_code": text_of("cloud.error_code"),
-        "process": text_of("process.name"), "parent_process": text_of("process.parent_name"), "file_hash": text_of("process.hash_sha256"), "domain": text_of("dns.query_name"), "vendor_rule": said("alert.rule_id"), "command_line": text_of("process.command_line"), "user_agent": text_of("cloud.user_agent"), "vendor_rule_name": text_of("alert.rule_name"), "role_description": text_of("cloud.request_parameters.description"),
+    top = lambda p: f"_{p.split('.')[0]}"
+    field = lambda p: at(p.split(".", 1)[1], top(p)) if "." in p else F.col(top(p))
+    string = lambda v: F.try_variant_get(v, "$", "string")
+    told = lambda v: string(texts_only(F.col(v)))
+    # Step by step, each step's columns named once: a document has one or two of the detail objects, and what is absent is null at once for all its fields.
+    flat, objects, names = ["category", "action", "outcome", "severity", "source"], ["host", "user", *DETAILS.values()], list(dict.fromkeys([key, context, "place"]))
+    rows = once(docs, *names).select(F.col(key).alias("item_key"), F.col(context).alias("item_context"), "place", *[at(f).alias(f"_{f}") for f in [*flat, *objects]])
+    rows = rows.select("item_key", "item_context", "place", *[told(f"_{f}").alias(f) for f in flat], *[f"_{f}" for f in objects])
+    rows = rows.withColumn("_own", F.coalesce(*[F.when(F.col("category") == k, F.col(top(d))) for k, d in DETAILS.items()]))
+    rows = rows.select("*", *[F.coalesce(*[at(n, f"_{d}") for d in ["own", *DETAILS.values()]]).alias(f"_{n}") for n in ("source_ip", "destination_ip", "destination_port")], F.schema_of_variant("_cloud").alias("_kind"), field("cloud.request_parameters").alias("_asked"))
+    texts = {
+        "api_call": "cloud.event_name", "service": "cloud.event_source", "identity_type": "cloud.identity_type", "account": "cloud.account_id", "principal": "cloud.principal_arn", "session_issuer": "cloud.session_issuer_arn", "access_key": "cloud.access_key_id", "minted_access_key": "cloud.response_elements.accessKeyId", "error_code": "cloud.error_code",
+        "process": "process.name", "parent_process": "process.parent_name", "file_hash": "process.hash_sha256", "domain": "dns.query_name", "command_line": "process.command_line", "user_agent": "cloud.user_agent", "vendor_rule_name": "alert.rule_name", "role_description": "cloud.request_parameters.description",
     }
-    mfa = F.when(kind_of("cloud.mfa_authenticated") == "BOOLEAN", F.try_variant_get("v", "$.cloud.mfa_authenticated", "boolean"))
-    asked = F.from_json(F.when(is_object(kind_of("cloud.request_parameters")), F.to_json(at("cloud.request_parameters"))), "map<string,variant>")
+    scalars = {"host": "host.hostname", "username": "user.name", "vendor_rule": "alert.rule_id"}
+    rows = rows.select("item_key", "item_context", "place", *flat, "_cloud", "_source_ip", "_destination_ip", "_destination_port", "_kind", "_asked", field("host.ip").alias("_host_ip"), field("cloud.mfa_authenticated").alias("_mfa"), *[field(v).alias(f"_{n}") for n, v in texts.items()], *[string(field(v)).alias(n) for n, v in scalars.items()])
+    text = {n: told(f"_{n}") for n in texts} | {n: F.col(n) for n in scalars}
+    text |= {"source_ip": string(F.coalesce(texts_only(F.col("_source_ip")), texts_only(F.col("_host_ip")))), "destination_ip": told("_destination_ip"), "destination_port": string(F.when(F.schema_of_variant("_destination_port") == "BIGINT", F.col("_destination_port")))}
+    mfa = F.when(F.schema_of_variant("_mfa") == "BOOLEAN", F.try_variant_get("_mfa", "$", "boolean"))
+    asked = F.from_json(F.when(is_object(F.schema_of_variant("_asked")), F.to_json("_asked")), "map<string,variant>")
     shown = F.map_filter(asked, lambda k, v: ~k.isin(HIDDEN) & ~F.is_variant_null(v) & ~F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"))
-    cloudy = is_object(kind_of("cloud")) & (kind_of("cloud") != "OBJECT<>")
-    read = F.struct(*[v.alias(n) for n, v in text.items()], mfa.alias("mfa"), F.slice(resource_names(), 1, SHOWN_RESOURCES).alias("resources"), shown.alias("params"), cloudy.alias("cloudy"))
-    rows = materialize(once(docs, *dict.fromkeys([key, context, "place"])).select(F.col(key).alias("item_key"), F.col(context).alias("item_context"), "place", F.inline(F.array(read))), "shown")
+    cloudy = is_object(F.col("_kind")) & (F.col("_kind") != "OBJECT<>")
+    read = [*[v.alias(n) for n, v in text.items()], mfa.alias("mfa"), F.slice(resource_names("_cloud", "$.resources"), 1, SHOWN_RESOURCES).alias("resources"), shown.alias("params"), cloudy.alias("cloudy")]
+    rows = materialize(rows.select("item_key", "item_context", "place", *flat, *read), "shown")
     c = F.col
     person = c("identity_type").isNull() | c("identity_type").isin(PERSONS)
     # Which texts are redacted, and as what kind of identifier.
@@ -124,12 +135,12 @@ def item_fields(docs: DataFrame, key: str, context: str, most: int = LONGEST_TEX
     out["destination"] = F.when(c("destination_ip") != "", F.concat_ws(":", "destination_ip", F.coalesce("destination_port", F.lit("None"))))
     out |= when(c("cloudy"), ["api_call", "service", "identity_type", "error_code"]) | when(c("cloudy"), ["account", "principal", "session_issuer", "access_key", "minted_access_key"], safe)
     out |= when(c("category") == "process", ["process", "parent_process", "file_hash"]) | when(c("category") == "dns", ["domain"]) | {"vendor_rule": safe("vendor_rule")}
-    variants = {n: F.nullif(v, F.lit("")).cast("variant") for n, v in out.items()} | {"mfa": c("mfa").cast("variant")}
+    values = {n: F.nullif(v, F.lit("")) for n, v in out.items()} | {"mfa": c("mfa")}
     numbers = F.transform("resources", lambda x, i: F.coalesce(F.try_element_at("_m", F.concat(F.lit(".resources["), i.cast("string"), F.lit("]"))), x))
-    variants["resources"] = F.when(F.size("resources") > 0, F.to_variant_object(numbers))
+    values["resources"] = F.when(F.size("resources") > 0, numbers)
     asked = F.transform(F.array_sort(F.map_keys("params")), lambda k: F.struct(k, F.coalesce(F.try_element_at("_m", F.concat(F.lit(".params."), k)).cast("variant"), F.element_at("params", k))))
-    variants["params"] = F.when(F.size("params") > 0, F.to_variant_object(F.map_from_entries(asked)))
+    values["params"] = F.when(F.size("params") > 0, F.map_from_entries(asked))
     clipped = lambda t: F.when(F.length(t) <= most, t).otherwise(F.concat(F.substring(t, 1, most - 1), F.lit("…")))
-    raw = {n: clipped(safe(n)).cast("variant") for n in ("command_line", "role_description", "user_agent", "vendor_rule_name")}
-    json = lambda values: F.to_json(F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n), v.alias("value")) for n, v in sorted(values.items())]), lambda e: e["value"].isNotNull())))
-    return met.select(F.col("item_key").alias(key), F.col("item_context").alias(context), json(variants).alias("fields"), json(raw).alias("untrusted"))
+    raw = {n: clipped(safe(n)) for n in ("command_line", "role_description", "user_agent", "vendor_rule_name")}
+    json = lambda values: F.to_json(F.struct(*[v.alias(n) for n, v in sorted(values.items())]), {"ignoreNullFields": "true"})
+    return met.select(F.col("item_key").alias(key), F.col("item_context").alias(context), json(values).alias("fields"), json(raw).alias("untrusted"))

@@ -20,7 +20,7 @@ _PAD = "CASE WHEN k % 4 = 0 THEN repeat('y', 300) ELSE '' END"
 
 def _documents(spark, sf_dir):
     """(pos, user_id, v): one valid document an event, the details by category; every 97th has a fault."""
-    rows = telemetry(spark, sf_dir).withColumn("kind", F.expr(_CATEGORY))
+    rows = telemetry(spark, sf_dir, dealt=True).withColumn("kind", F.expr(_CATEGORY))
     told = {
         "event_id": "event_id", "timestamp": "'2024-01-01T00:00:' || lpad(CAST(k % 60 AS STRING), 2, '0') || '+01:00'", "source": "source", "category": "kind", "action": "IF(kind = 'cloud', 'api_call', action)", "outcome": "IF(pos % 97 = 0, 'maybe', outcome)", "severity": _SEVERITY,
         "host": "IF(kind = 'cloud', NULL, named_struct('hostname', coalesce(hostname, 'H'), 'ip', source_ip))", "user": "named_struct('name', username)", "auth": "IF(kind = 'authentication', named_struct('source_ip', source_ip), NULL)",

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cinderlake import context_queries
-from cinderlake.operators import correlation
+from cinderlake.operators import correlation, documents, typed
+from cinderlake.plans.stored import materialize
 from cinderlake.sources.telemetry import telemetry
 
 DATA = "/root/testdata/sf0.001"
@@ -30,3 +31,23 @@ def test_surrounding(spark):
     want = {r.pos for r in pairs.collect()} | set(range(20))
     got = [r.pos for r in correlation.surrounding(events, incidents, owned, evidence).collect()]
     assert sorted(got) == sorted(want) and 20 < len(want) < 400
+
+
+def test_given_identifiers_are_not_searched(spark, monkeypatch):
+    rows = [("1", 7, 1, ".actor", "eve", "USER"), ("2", 7, 1, ".note", "for eve and pw=abc123", None), ("3", None, 1, ".actor", "eve", "USER"), ("4", 7, 2, ".actor", "ann", "USER"), ("5", 7, 2, ".password", "eve", None)]
+    texts = spark.createDataFrame(rows, "id string, pack int, place int, path string, text string, kind string")
+    searched, swap = [], documents.swapped
+    monkeypatch.setattr(documents, "swapped", lambda rows, *more: searched.append(sorted(r.id for r in rows.collect())) or swap(rows, *more))
+    done, _ = documents.redacted_texts(texts, "pack")
+    got = {r.id: (r.text, r.changed) for r in done.collect()}
+    assert searched == [["2", "5"]]
+    assert (got["1"], got["3"], got["4"], got["5"]) == (("USER_001", True), ("eve", False), ("USER_002", True), ("[REDACTED_SECRET_FIELD]", True))
+    assert got["2"][0].startswith("for USER_001 and ")
+
+
+def test_item_fields_names_what_it_reads_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(typed, "materialize", lambda df, name: plans.append(plan(df)) or materialize(df, name))
+    docs = spark.range(1).select(F.col("id").alias("pos"), F.lit(1).alias("pack"), F.col("id").alias("place"), F.parse_json(F.lit('{"category": "dns", "dns": {"source_ip": "1.2.3.4"}}')).alias("v"))
+    assert '"source_ip":"1.2.3.4"' in typed.item_fields(docs, "pos", "pack").first().fields
+    assert plans[0].count("$.cloud,") == 1 and plans[0].count("$.source_ip,") == 7 and "$.cloud." not in plans[0]
