@@ -32,24 +32,33 @@ SENTENCE_PENALTY, INNER_PENALTY, LONG = 2, 24, 64
 #: Ids from which a block of documents is cut and packed: it bounds a task's memory. A block ends with a document and
 #: begins a new window, so a block costs at most one padded window more than an endless run would.
 BLOCK_IDS = 2_000_000
-#: A run of white space with the word after it: pre-tokens never reach beyond it.
-CHUNK = re.compile(r"\s*\S+|\s+$")
 #: Fixed by the vocabulary: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space to Python but not to the pattern, and white space other than blanks and line feeds.
-UNUSUAL = set("\x1c\x1d\x1e\x1f")
-OTHER_SPACE = {chr(c) for c in [9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]}
-STOPS = {".", "!", "?"}
-CACHE_CHUNKS = 150_000
+#: White space to Python but not to the pattern.
+UNUSUAL = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII in UTF-8, by its first bytes; bytes that end sentences, and what may follow them: 1 white space, 2 perhaps.
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+IS_STOP = np.isin(np.arange(256), [*b".!?"])
+FOLLOWS = np.isin(np.arange(256), [*b"\t\n\v\f\r "]).astype(np.int8) + 2 * np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3]).astype(np.int8)
 END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkTokenizer:
-    """Ids of whole texts under a byte-level vocabulary file; each distinct chunk is tokenized once.
+def sentence_ends(data: bytes) -> np.ndarray:
+    """Places behind every full stop, exclamation or question mark that white space or the end of the text follows."""
+    raw = np.frombuffer(data + b" ", dtype=np.uint8)
+    at = np.flatnonzero(IS_STOP[raw]) + 1
+    kind = FOLLOWS[raw[at]]
+    for i in np.flatnonzero(kind == 2):
+        kind[i] = WIDE_SPACE.match(data, at[i]) is not None
+    return at[kind == 1]
 
-    Texts that spell special tokens or hold unusual separators go to the tokenizers library whole; chunks go to
-    tiktoken, which reads the same vocabulary as ranks."""
+
+class TextTokenizer:
+    """Ids of whole texts under a byte-level vocabulary file, and where sentences end among them.
+
+    Texts that spell special tokens or hold unusual separators go to the tokenizers library; all others go to tiktoken,
+    which reads the same vocabulary as ranks, in one call a text."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -58,45 +67,28 @@ class ChunkTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         byte = {c: b for b, c in enumerate(byte_symbols())}
         ranks = {bytes([byte[c] for c in t]): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in self.special}
-        self.tiktoken = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.tiktoken = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.bytes_of[list(ranks.values())] = list(map(len, ranks))
 
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, chunks: set[str]) -> None:
-        cache, old, encode = self.cache, self.old, self.tiktoken.encode_ordinary
-        for c in chunks:
-            if (b := old.get(c)) is None:
-                ids = encode(c)
-                b = struct.pack(f"<{len(ids)}I", *ids)
-            cache[c] = b
-
     def __call__(self, text: str) -> tuple[bytes, list[int]]:
         """Little-endian ids and the places of sentence ends among them."""
-        letters = set(text)
-        if "\0" in letters or letters & UNUSUAL or any(s in text for s in self.special):
+        if "\0" in text or UNUSUAL.search(text) or any(s in text for s in self.special):
             return self._whole(text), []
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or letters & OTHER_SPACE:
-            chunks = CHUNK.findall(text)
-        else:
-            chunks = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        if len(self.cache) > CACHE_CHUNKS:
-            self.old, self.cache = self.cache, {}
-        if new := {c for c in chunks if c not in self.cache}:
-            self._learn(new)
-        found = list(map(self.cache.__getitem__, chunks))
-        end = np.fromiter([c[-1:] in STOPS for c in chunks], dtype=bool, count=len(chunks))
-        at = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found))) >> 2
-        return b"".join(found), at[end].tolist()
+        ids = self.tiktoken.encode_to_numpy(text, disallowed_special=())
+        # No id reaches beyond white space that follows a word, so each end is the end of an id.
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), sentence_ends(text.encode())) + 1
+        return ids.astype("<u4", copy=False).tobytes(), ends.tolist()
 
 
 @lru_cache(maxsize=2)
-def tokenizer_of(path: str) -> ChunkTokenizer:
-    """One tokenizer for all tasks that a Python worker runs, so its caches stay warm."""
-    return ChunkTokenizer(path)
+def tokenizer_of(path: str) -> TextTokenizer:
+    """One tokenizer for all tasks that a Python worker runs."""
+    return TextTokenizer(path)
 
 
 def unpadded(cuts: list[int], length: int) -> tuple[list[int], list[int]]:

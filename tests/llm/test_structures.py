@@ -6,8 +6,10 @@ import heapq
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -361,3 +363,18 @@ def test_as_many_rows_stay_as_there_are_components(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     components = {r.component_id for r in jaccard.near_duplicates(docs).collect()}
     assert {r.doc_id for r in jaccard.deduplicated(docs).collect()} == components
+
+
+def test_texts_are_tokenized_whole():
+    from cinderlake.llm import packing
+
+    tokenize = packing.TextTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    calls, encode = [], tokenize.tiktoken.encode_to_numpy
+    tokenize.tiktoken = SimpleNamespace(encode_to_numpy=lambda text, **more: calls.append(text) or encode(text, **more))
+    texts = ["One two. Three!  Four?\nv1.2 é.　Next. x.  y.é end.", "", ".", "a.\x1fb. c", "x<|endoftext|>. y"]
+    for text in texts:
+        ids, ends = tokenize(text)
+        assert ids == tokenize._whole(text)
+        cut = [tokenize.library.decode(list(memoryview(ids).cast("I")[:e]), skip_special_tokens=False) for e in ends]
+        assert cut == ([] if text in texts[3:] else [text[: m.end()] for m in re.finditer(r"[.!?](?=\s|$)", text)])
+    assert calls == texts[:3]
