@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.operators import graph, joins
-from cinderlake.operators.entities import acting, entities_of, exploded, linking_entities
+from cinderlake.operators.entities import acting, entities_of, linking_entities
 from cinderlake.plans.hot import join_hot
 from cinderlake.plans.stored import materialize, numbered
 
@@ -31,7 +31,7 @@ def references(events: DataFrame) -> DataFrame:
     Where either has no time, the reference is the first timed detection event of an entity, or else the first untimed
     one, without a distance; of several entities the least position counts."""
     rows = events.select("pos", "t", F.col("detection_match").alias("seed"), F.explode("acting").alias("entity"))
-    near = joins.nearest_seed(rows.where("t is not null").drop("seed"), events.where("detection_match and t is not null"))
+    near = joins.nearest_seed(rows.where("t is not null"))
     seeds = rows.where("seed").groupBy("entity").agg(F.min(F.when(F.col("t").isNotNull(), F.struct("t", "pos"))).alias("timed"), F.min(F.when(F.col("t").isNull(), F.col("pos"))).alias("untimed"), F.count("t").alias("n"))
     first = rows.where("not seed").join(seeds, "entity").where("t is null or untimed is not null")
     # An untimed event prefers timed seeds; a timed one comes here for untimed seeds only.
@@ -58,21 +58,26 @@ def feature_matrix(normalized: DataFrame) -> DataFrame:
         flag(F.lower(F.coalesce("status", F.lit(""))).isin(FAILURES)).alias("status_failure"),
     )
 
-    edges = materialize(graph.link_edges(linking_entities(events)), "feature-edges")
-    members = materialize(graph.clusters(events, edges), "feature-clusters")
-    degree = graph.degrees(edges)
-    joined = own.select("pos", "event_type", "source", "detection_match").join(members, "pos")
-    inner = edges.join(members, c("dst") == c("pos")).groupBy("cluster").agg(F.count("*").alias("edges"))
-    wholes = joined.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("detection_match").alias("hits")).join(inner, "cluster", "left")
-    share = lambda column, name: joined.groupBy("cluster", column).agg(F.count("*").alias(name)).select(c("cluster").alias(f"{name}_c"), c(column).alias(f"{name}_k"), name)
+    edges = materialize(graph.link_edges(linking_entities(events, entities=c("entities"))), "feature-edges")
+    members = graph.clusters(events, edges)
+    # Ends of edges by event, counted once for its degree and for the edges of its cluster.
+    end = lambda e, later: F.struct(c(e).alias("end"), F.lit(later).alias("later"))
+    ends = edges.select(F.inline(F.array(end("src", 0), end("dst", 1)))).groupBy("end").agg(F.count("*").alias("ends"), F.sum("later").alias("later"))
+    placed = materialize(own.join(members, "pos").join(ends, c("pos") == c("end"), "left").drop("end"), "feature-clusters")
+    # What an event's cluster adds depends on cluster, type and source only: worked out once for each of these.
+    kinds = placed.groupBy("cluster", "event_type", "source").agg(F.count("*").alias("n"), F.sum("detection_match").alias("hits"), F.coalesce(F.sum("later"), F.lit(0)).alias("edges"))
+    kinds = materialize(kinds, "feature-kinds")
+    wholes = kinds.groupBy("cluster").agg(F.sum("n").alias("size"), F.sum("hits").alias("hits"), F.sum("edges").alias("edges"))
+    share = lambda column, name: kinds.groupBy("cluster", column).agg(F.sum("n").alias(name)).select(c("cluster").alias(f"{name}_c"), c(column).alias(f"{name}_k"), name)
     types, sources = share("event_type", "same_type"), share("source", "same_source")
-    cluster = joined.join(wholes, "cluster").join(types, (c("cluster") == c("same_type_c")) & c("event_type").eqNullSafe(c("same_type_k"))).join(sources, (c("cluster") == c("same_source_c")) & c("source").eqNullSafe(c("same_source_k")))
-    cluster = cluster.select(
-        "pos", F.log10("size").alias("cluster_size"), (F.coalesce("edges", F.lit(0)) / c("size")).alias("cluster_density"), flag(c("hits") > 0).alias("cluster_has_detection"),
+    shares = kinds.select("cluster", "event_type", "source").join(wholes, "cluster").join(types, (c("cluster") == c("same_type_c")) & c("event_type").eqNullSafe(c("same_type_k"))).join(sources, (c("cluster") == c("same_source_c")) & c("source").eqNullSafe(c("same_source_k")))
+    shares = shares.select(
+        c("cluster").alias("_cluster"), c("event_type").alias("_type"), c("source").alias("_source"), F.log10("size").alias("cluster_size"), (c("edges") / c("size")).alias("cluster_density"), flag(c("hits") > 0).alias("cluster_has_detection"),
         (c("hits") / c("size")).alias("cluster_detection_fraction"), (c("same_type") / c("size")).alias("event_type_similarity"), (c("same_source") / c("size")).alias("source_similarity"),
     )
+    cluster = placed.withColumn("degree", F.log1p("ends")).join(shares, (c("cluster") == c("_cluster")) & c("event_type").eqNullSafe(c("_type")) & c("source").eqNullSafe(c("_source")))
 
-    listed = exploded(events).where("etype in ('DETECTION', 'TECHNIQUE')").select("pos", "etype", "evalue")
+    listed = events.select("pos", F.inline(F.filter("entities", lambda e: e["etype"].isin("DETECTION", "TECHNIQUE"))))
     postings = listed.groupBy("etype", "evalue").agg(F.count("*").alias("posting"))
     shared = join_hot(listed, postings, "etype", "evalue").groupBy("pos").agg(
         F.log1p(F.max(F.when(c("etype") == "DETECTION", c("posting") - 1))).alias("shared_detection"), flag(F.max((c("etype") == "TECHNIQUE") & (c("posting") > 1))).alias("shared_technique"),
@@ -92,7 +97,7 @@ def feature_matrix(normalized: DataFrame) -> DataFrame:
         F.coalesce(F.exp(-c("d") / DECAY_SECONDS), F.lit(0.0)).alias("temporal_proximity"),
     )
 
-    out = own.drop("event_type", "source").join(degree.select("pos", F.log1p("degree").alias("degree")), "pos", "left").join(cluster, "pos").join(shared, "pos", "left").join(towards, "pos", "left")
+    out = cluster.join(shared, "pos", "left").join(towards, "pos", "left")
     filled = {f: NO_REFERENCE if f == "timestamp_distance" else 0.0 for f in FEATURES}
     return out.select("pos", *[F.coalesce(F.col(f).cast("double"), F.lit(v)).alias(f) for f, v in filled.items()])
 

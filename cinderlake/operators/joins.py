@@ -11,12 +11,13 @@ from cinderlake.plans.buckets import bucket_of, carried, same_bucket
 DAY = 86_400
 
 
-def nearest_seed(entities: DataFrame, seeds: DataFrame) -> DataFrame:
+def nearest_seed(entities: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(pos, ref, distance in microseconds): the nearest seed event that shares an entity, earlier or later.
 
     Of equally near seeds the least position wins; earlier seeds of one time give their largest position, later ones
-    their smallest. A seed is its own reference."""
-    marked = entities.join(seeds.select("pos", F.lit(True).alias("seed")), "pos", "left").withColumn("s", F.when(F.col("seed"), F.struct("t", "pos")))
+    their smallest. A seed is its own reference. Without seeds, a column `seed` of entities tells them."""
+    marked = entities if seeds is None else entities.join(seeds.select("pos", F.lit(True).alias("seed")), "pos", "left")
+    marked = marked.withColumn("s", F.when(F.col("seed"), F.struct("t", "pos")))
     marked = marked.withColumn("bucket", bucket_of(F.col("t"), buckets.DAY))
     w = Window.partitionBy("entity", "bucket")
     # Times in descending order turn "from here on" into a running minimum.

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from cinderlake import context_queries
-from cinderlake.operators import correlation, documents, typed
+from cinderlake.operators import correlation, documents, features, joins, typed
 from cinderlake.plans.stored import materialize
-from cinderlake.sources.telemetry import telemetry
+from cinderlake.sources.telemetry import normalized, telemetry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,3 +51,20 @@ def test_item_fields_names_what_it_reads_once(spark, monkeypatch):
     docs = spark.range(1).select(F.col("id").alias("pos"), F.lit(1).alias("pack"), F.col("id").alias("place"), F.parse_json(F.lit('{"category": "dns", "dns": {"source_ip": "1.2.3.4"}}')).alias("v"))
     assert '"source_ip":"1.2.3.4"' in typed.item_fields(docs, "pos", "pack").first().fields
     assert plans[0].count("$.cloud,") == 1 and plans[0].count("$.source_ip,") == 7 and "$.cloud." not in plans[0]
+
+
+def test_features_make_entities_once(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(features, "materialize", lambda df, name: plans.update({name: plan(df)}) or materialize(df, name))
+    out = features.feature_matrix(normalized(spark, DATA))
+    assert [n for n, p in plans.items() if "array_distinct" in p] == ["feature-events"]
+    # Clusters are worked out by type and source, not by event: the last step meets them in one join.
+    assert plans["feature-kinds"].count("Join") == 0 and plan(out).count("feature-edges") == 0
+    assert out.count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_nearest_seed_with_known_seeds(spark):
+    rows = [(i, i * 1000 * (i % 7), f"e{i % 3}", i % 5 == 0) for i in range(60)]
+    entities = spark.createDataFrame(rows, "pos long, t long, entity string, seed boolean")
+    known = joins.nearest_seed(entities).collect()
+    assert sorted(known) == sorted(joins.nearest_seed(entities.drop("seed"), entities.where("seed")).collect()) and len(known) == 60
