@@ -37,11 +37,15 @@ def acting(entities: Column) -> Column:
     return F.transform(F.filter(entities, lambda e: e["etype"].isin(LINKING)), lambda e: F.concat_ws(":", e["etype"], e["evalue"]))
 
 
-def exploded(events: DataFrame, entities: Column | None = None) -> DataFrame:
-    """(pos, event_id, t, etype, evalue, linking): one row an event and entity; alerts link as actors and assets do.
+def linking_names(names: str = "acting", listed: str = "listed") -> Column:
+    """The names of entities that link events: those of acting(), and alerts of the array listed(etype, evalue)."""
+    alerts = F.filter(listed, lambda e: (e["etype"] == "DETECTION") & e["evalue"].startswith("alert:"))
+    return F.when(F.size(listed) > 0, F.concat(names, F.transform(alerts, lambda e: F.concat_ws(":", e["etype"], e["evalue"])))).otherwise(F.col(names))
 
-    entities are those of entities_of(), if the events hold them already."""
-    rows = events.select("pos", "event_id", "t", F.explode(entities_of() if entities is None else entities).alias("e")).select("pos", "event_id", "t", "e.*")
+
+def exploded(events: DataFrame) -> DataFrame:
+    """(pos, event_id, t, etype, evalue, linking): one row an event and entity; alerts link as actors and assets do."""
+    rows = events.select("pos", "event_id", "t", F.explode(entities_of()).alias("e")).select("pos", "event_id", "t", "e.*")
     return rows.withColumn("linking", F.col("etype").isin(LINKING) | ((F.col("etype") == "DETECTION") & F.col("evalue").startswith("alert:")))
 
 
@@ -51,9 +55,9 @@ def roles() -> list[Column]:
     return [valid("source_ip"), valid("destination_ip")]
 
 
-def linking_entities(events: DataFrame, hub_fraction: float | None = None, hub_least: int = 1000, entities: Column | None = None) -> DataFrame:
+def linking_entities(events: DataFrame, hub_fraction: float | None = None, hub_least: int = 1000) -> DataFrame:
     """(entity, pos, t) of linking entities; with hub_fraction, those of more than max(hub_least, fraction of events) go."""
-    rows = exploded(events, entities).where("linking").select(F.concat_ws(":", "etype", "evalue").alias("entity"), "pos", "t")
+    rows = exploded(events).where("linking").select(F.concat_ws(":", "etype", "evalue").alias("entity"), "pos", "t")
     if hub_fraction is None:
         return rows
     most = events.agg(F.greatest(F.lit(float(hub_least)), hub_fraction * F.count("*")).alias("most"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.operators import graph, joins
-from cinderlake.operators.entities import acting, entities_of, linking_entities
+from cinderlake.operators.entities import acting, entities_of, linking_names
 from cinderlake.plans.hot import join_hot
 from cinderlake.plans.stored import materialize, numbered
 
@@ -32,6 +32,8 @@ def references(events: DataFrame) -> DataFrame:
     one, without a distance; of several entities the least position counts."""
     rows = events.select("pos", "t", F.col("detection_match").alias("seed"), F.explode("acting").alias("entity"))
     near = joins.nearest_seed(rows.where("t is not null"))
+    if events.where("t is null").isEmpty():  # all that follows is about events without time
+        return near
     seeds = rows.where("seed").groupBy("entity").agg(F.min(F.when(F.col("t").isNotNull(), F.struct("t", "pos"))).alias("timed"), F.min(F.when(F.col("t").isNull(), F.col("pos"))).alias("untimed"), F.count("t").alias("n"))
     first = rows.where("not seed").join(seeds, "entity").where("t is null or untimed is not null")
     # An untimed event prefers timed seeds; a timed one comes here for untimed seeds only.
@@ -45,24 +47,29 @@ def references(events: DataFrame) -> DataFrame:
 def feature_matrix(normalized: DataFrame) -> DataFrame:
     """(pos, the 31 features as doubles) for every row of normalized events with unique pos."""
     c, flag = F.col, lambda x: x.cast("double")
-    step = normalized.select("*", entities_of().alias("entities")).withColumn("acting", acting(c("entities"))).withColumn("detection_match", F.size("detection_ids") > 0)
-    kept = ["pos", "event_id", "t", "event_type", "action", "status", "severity", "source", "source_ip", "destination_ip", "username", "hostname", "process", "account", "resources", "detection_ids", "rule_ids", "techniques", "entities", "acting", "detection_match"]
-    events = materialize(step.select(*kept), "feature-events")
+    # Columns are made once, behind inline(); names and lists are read for entities alone, and not kept beside them.
+    named = ["username", "hostname", "process", "account", "resources", "detection_ids", "rule_ids", "techniques"]
+    kept = ["pos", "t", "event_type", "action", "status", "severity", "source", "source_ip", "destination_ip"]
+    step = normalized.select(F.inline(F.array(F.struct(*kept, *named)))).select("*", entities_of().alias("entities"))
+    listed = F.filter("entities", lambda e: e["etype"].isin("DETECTION", "TECHNIQUE"))
+    step = step.select(*kept, acting(c("entities")).alias("acting"), listed.alias("listed"), F.size("entities").alias("n_entities"), F.size("techniques").alias("n_techniques"), (F.size("detection_ids") > 0).alias("detection_match"))
+    events = materialize(step, "feature-events")
     n = events.agg(F.count("*").alias("n"))
 
     counts = events.groupBy(c("event_type").alias("of_type"), c("action").alias("of_action")).agg(F.count("*").alias("c"))
     own = events.join(F.broadcast(n)).join(counts, c("event_type").eqNullSafe(c("of_type")) & c("action").eqNullSafe(c("of_action"))).select(
         "pos", (c("severity") / 4).alias("severity"), flag(c("detection_match")).alias("detection_match"), "event_type", "source",
-        F.log1p(F.size(F.filter("entities", lambda e: e["etype"] == "DETECTION"))).alias("detection_count"), F.log1p(F.size("techniques")).alias("technique_count"),
-        (c("c") / c("n")).alias("event_frequency"), (1 - F.log1p("c") / F.log1p("n")).alias("rarity"), flag(F.size("entities")).alias("entity_count"),
+        F.log1p(F.size(F.filter("listed", lambda e: e["etype"] == "DETECTION"))).alias("detection_count"), F.log1p("n_techniques").alias("technique_count"),
+        (c("c") / c("n")).alias("event_frequency"), (1 - F.log1p("c") / F.log1p("n")).alias("rarity"), flag(c("n_entities")).alias("entity_count"),
         flag(F.lower(F.coalesce("status", F.lit(""))).isin(FAILURES)).alias("status_failure"),
     )
 
-    edges = materialize(graph.link_edges(linking_entities(events, entities=c("entities"))), "feature-edges")
-    members = graph.clusters(events, edges)
-    # Ends of edges by event, counted once for its degree and for the edges of its cluster.
-    end = lambda e, later: F.struct(c(e).alias("end"), F.lit(later).alias("later"))
-    ends = edges.select(F.inline(F.array(end("src", 0), end("dst", 1)))).groupBy("end").agg(F.count("*").alias("ends"), F.sum("later").alias("later"))
+    linked = materialize(graph.links(events.select("pos", "t", F.explode(linking_names()).alias("entity"))).drop("entity"), "feature-links")
+    members = graph.linked_clusters(events, linked)
+    # Ends of edges by event, counted once for its degree and for the edges of its cluster; a link's edges share their later end.
+    end = lambda e, n, later: F.struct(e.alias("end"), n.alias("n"), later.alias("later"))
+    both = F.array(end(c("pos"), F.size("before"), F.size("before")), *[end(F.get("before", F.lit(i)), F.lit(1), F.lit(0)) for i in range(graph.NEIGHBOURS)])
+    ends = linked.select(F.inline(both)).where("end is not null").groupBy("end").agg(F.sum("n").alias("ends"), F.sum("later").alias("later"))
     placed = materialize(own.join(members, "pos").join(ends, c("pos") == c("end"), "left").drop("end"), "feature-clusters")
     # What an event's cluster adds depends on cluster, type and source only: worked out once for each of these.
     kinds = placed.groupBy("cluster", "event_type", "source").agg(F.count("*").alias("n"), F.sum("detection_match").alias("hits"), F.coalesce(F.sum("later"), F.lit(0)).alias("edges"))
@@ -77,7 +84,7 @@ def feature_matrix(normalized: DataFrame) -> DataFrame:
     )
     cluster = placed.withColumn("degree", F.log1p("ends")).join(shares, (c("cluster") == c("_cluster")) & c("event_type").eqNullSafe(c("_type")) & c("source").eqNullSafe(c("_source")))
 
-    listed = events.select("pos", F.inline(F.filter("entities", lambda e: e["etype"].isin("DETECTION", "TECHNIQUE"))))
+    listed = events.select("pos", F.inline("listed"))
     postings = listed.groupBy("etype", "evalue").agg(F.count("*").alias("posting"))
     shared = join_hot(listed, postings, "etype", "evalue").groupBy("pos").agg(
         F.log1p(F.max(F.when(c("etype") == "DETECTION", c("posting") - 1))).alias("shared_detection"), flag(F.max((c("etype") == "TECHNIQUE") & (c("posting") > 1))).alias("shared_technique"),

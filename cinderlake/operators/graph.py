@@ -19,10 +19,11 @@ TOP_PAIRS, SMALL_GROUP = 40, 64
 PART_ROWS = 1_000_000
 
 
-def contracted(edges: DataFrame, portion: int = 1_000_000) -> DataFrame:
+def contracted(edges: DataFrame, portion: int = 1_000_000, centres: bool = False) -> DataFrame:
     """(a, b) with a > b: the edges of each portion replaced by a star around every component in it.
 
-    What a portion connects stays connected, in at most as many edges, and a task holds one portion at a time."""
+    What a portion connects stays connected, in at most as many edges, and a task holds one portion at a time. With centres,
+    (b, b) of every star's centre too."""
 
     def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -35,7 +36,7 @@ def contracted(edges: DataFrame, portion: int = 1_000_000) -> DataFrame:
             np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
             while (label != (up := label[label])).any():
                 label = up
-        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        leaf = np.arange(len(nodes)) if centres else np.flatnonzero(label != np.arange(len(nodes)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[label[leaf]])], names=["a", "b"])
 
     def run(batches):
@@ -86,16 +87,22 @@ def event_entities(events: DataFrame) -> DataFrame:
     return events.select("pos", "t", F.explode(F.array_distinct(named)).alias("entity"))
 
 
+def links(entities: DataFrame, seconds: int = LINK_SECONDS, k: int = NEIGHBOURS) -> DataFrame:
+    """(entity, pos, t, before): events with the positions of their k latest predecessors on an entity within the time, the latest first.
+
+    Events without any have no row, nor have events without time."""
+    span = seconds * 1_000_000
+    w = Window.partitionBy("entity", "bucket").orderBy("t", "pos")
+    before = F.array_compact(F.array(*[F.when(F.col("t") - F.lag("t", i).over(w) <= span, F.lag("pos", i).over(w)) for i in range(1, k + 1)]))
+    found = looking_back(entities.where("t is not null"), span).withColumn("before", before)
+    return found.where("own and size(before) > 0").select("entity", "pos", "t", "before")
+
+
 def link_edges(entities: DataFrame, seconds: int = LINK_SECONDS, k: int = NEIGHBOURS) -> DataFrame:
     """(entity, src, dst): each event with its k latest predecessors on an entity within the time.
 
     One edge per shared entity, so two events that share two entities have two edges. Events without time have none."""
-    span = seconds * 1_000_000
-    w = Window.partitionBy("entity", "bucket").orderBy("t", "pos")
-    before = F.array(*[F.struct(F.lag("t", i).over(w).alias("t"), F.lag("pos", i).over(w).alias("pos")) for i in range(1, k + 1)])
-    found = looking_back(entities.where("t is not null"), span).withColumn("before", before).where("own")
-    linked = found.select("entity", "pos", "t", F.explode("before").alias("p"))
-    return linked.where(F.col("t") - F.col("p.t") <= span).select("entity", F.col("p.pos").alias("src"), F.col("pos").alias("dst"))
+    return links(entities, seconds, k).select("entity", F.explode("before").alias("src"), F.col("pos").alias("dst"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -109,6 +116,20 @@ def clusters(events: DataFrame, edges: DataFrame) -> DataFrame:
     return events.select("pos").join(found, F.col("pos") == F.col("node"), "left").select("pos", F.coalesce("component", "pos").alias("cluster"))
 
 
+def linked_clusters(events: DataFrame, linked: DataFrame) -> DataFrame:
+    """clusters() of the edges of links(), which are read twice.
+
+    An event's latest predecessor connects all that its earlier ones do, as these are within the time of one another too. Ends of a link are
+    near in time, so links dealt by time are contracted where they lie, and only events at the edges of portions connect one portion with another."""
+    latest = linked.select("t", F.col("pos").alias("a"), F.get("before", F.lit(0)).alias("b")).where("a <> b")
+    dealt = latest.repartitionByRange("t", "a").sortWithinPartitions("t").select("a", "b")
+    held = contracted(dealt, centres=True).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"), F.collect_set("b").alias("labels"))
+    held = materialize(held, "labels")
+    found = connected_components(held.where("size(labels) > 1").select(F.explode("labels").alias("a"), F.col("label").alias("b")))
+    placed = join_hot(held.select("node", "label"), found.withColumnRenamed("node", "label"), "label", how="left")
+    return events.select("pos").join(placed, F.col("pos") == F.col("node"), "left").select("pos", F.coalesce("component", "label", "pos").alias("cluster"))
+
+
 def cluster_statistics(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(cluster, size, edges, density); an edge counts for the cluster of its later event."""
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlake.plans import buckets
-from cinderlake.plans.buckets import bucket_of, carried, same_bucket
+from cinderlake.plans.buckets import bucket_of, carried
 
 DAY = 86_400
 
@@ -18,18 +18,23 @@ def nearest_seed(entities: DataFrame, seeds: DataFrame | None = None) -> DataFra
     their smallest. A seed is its own reference. Without seeds, a column `seed` of entities tells them."""
     marked = entities if seeds is None else entities.join(seeds.select("pos", F.lit(True).alias("seed")), "pos", "left")
     marked = marked.withColumn("s", F.when(F.col("seed"), F.struct("t", "pos")))
-    marked = marked.withColumn("bucket", bucket_of(F.col("t"), buckets.DAY))
+    marked = marked.select("pos", "t", "seed", "entity", bucket_of(F.col("t"), buckets.DAY).alias("bucket"), "s")
+    # Only seeds are compared for what a bucket hands on; of the others all that counts is which buckets there are.
+    places = marked.where("s is not null").select("entity", "bucket", "s").unionByName(marked.select("entity", "bucket").distinct(), allowMissingColumns=True)
+    ends = carried(places, "entity", {"greatest": F.max("s"), "least": F.min("s")}, {"earlier": (F.max("greatest"), "before"), "later": (F.min("least"), "after")})
+    # What is carried to a bucket joins its rows as two more seeds, before and after all of them; no join with the rows is needed.
+    carry = ends.select(F.col("key_").alias("entity"), F.col("bucket_").alias("bucket"), F.explode(F.array("earlier", "later")).alias("s")).where("s is not null")
+    rows = marked.withColumn("own", F.lit(True)).unionByName(carry.select("s.pos", "s.t", F.lit(True).alias("seed"), "entity", "bucket", "s", F.lit(False).alias("own")))
     w = Window.partitionBy("entity", "bucket")
     # Times in descending order turn "from here on" into a running minimum.
     before = F.max("s").over(w.orderBy("t").rangeBetween(Window.unboundedPreceding, -1))
     after = F.min("s").over(w.orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, 0))
-    ends = carried(marked, "entity", {"greatest": F.max("s"), "least": F.min("s")}, {"earlier": (F.max("greatest"), "before"), "later": (F.min("least"), "after")})
-    here = marked.select("pos", "t", "seed", "entity", "bucket", before.alias("before"), after.alias("after"))
-    near = here.join(ends, same_bucket("entity"), "left").select("pos", "t", "seed", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+    near = rows.select("pos", "t", "seed", "own", before.alias("before"), after.alias("after")).where("own")
     way = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("t") - F.col(f"{c}.t")).alias("distance"), F.col(f"{c}.pos").alias("ref")))
     own = F.when(F.col("seed"), F.struct(F.lit(0).cast("long").alias("distance"), F.col("pos").alias("ref")))
     best = F.coalesce(own, F.least(way("before"), way("after")))
-    found = near.select("pos", best.alias("best")).where("best is not null").groupBy("pos").agg(F.min("best").alias("best"))
+    # Dealt by pos first: an event's rows lie apart, so a partial aggregate would sort them all and join none.
+    found = near.select("pos", best.alias("best")).where("best is not null").repartition("pos").groupBy("pos").agg(F.min("best").alias("best"))
     return found.select("pos", "best.ref", "best.distance")
 
 
