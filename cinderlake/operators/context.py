@@ -26,19 +26,23 @@ def items(events: DataFrame) -> DataFrame:
     """Evidence items of telemetry rows: groups of COLLAPSE or more events as one, all others as single events.
 
     Numbered from 1 (label E01 on) by first event; rare if their category and action occur twice at most."""
-    rows = materialize(events.withColumn("key", group_key()), "context-rows")
+    named = ["category", "action", "outcome", "severity", "username", "hostname", "source_ip", "destination_ip", "process", "account", "resource", "principal_arn"]
+    kept = ["pos", "t", "event_id", "seed", "rule_id", "technique", *named]
+    # Columns are made once, behind inline(), though the key reads them again; those that only the key needs are not written.
+    once = events.select(F.inline(F.array(F.struct(*kept, "destination_port", "parent_process"))))
+    rows = materialize(once.select(*kept, group_key().alias("key")), "context-rows")
     sizes = rows.groupBy("key").agg(F.count("*").alias("group_size"))
     counts = rows.groupBy("category", "action").agg(F.count("*").alias("action_count"))
-    first = F.min(F.struct("t", "event_id", "category", "action", "outcome", "severity", "username", "hostname", "source_ip", "destination_ip", "process", "account", "resource", "principal_arn")).alias("f")
+    first = F.min(F.struct("t", "event_id", *named)).alias("f")
     # One least event, one last time and two small sets a group: partial aggregates keep hot groups small.
     grouped = join_hot(rows, sizes, "key").groupBy("key", F.when(F.col("group_size") < COLLAPSE, F.col("pos")).alias("own")).agg(
         first, F.max("t").alias("last_t"), F.count("*").alias("n"), F.bool_or("seed").alias("detected"), F.array_sort(F.collect_set("rule_id")).alias("rules"), F.array_sort(F.collect_set("technique")).alias("techniques"),
     )
     # The first names of a group are picked before they are collected, so a burst over many accounts is no long list.
     place = F.row_number().over(Window.partitionBy("key").orderBy("username"))
-    named = rows.where("username is not null").select("key", "username").distinct().withColumn("p", place).where(F.col("p") <= ACTORS)
-    named = named.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_list("username")).alias("actors"))
-    grouped = grouped.join(named, F.col("own").isNull() & (F.col("key") == F.col("_key")), "left")
+    users = rows.where("username is not null").select("key", "username").distinct().withColumn("p", place).where(F.col("p") <= ACTORS)
+    users = users.groupBy(F.col("key").alias("_key")).agg(F.array_sort(F.collect_list("username")).alias("actors"))
+    grouped = grouped.join(users, F.col("own").isNull() & (F.col("key") == F.col("_key")), "left")
     actors = F.coalesce("actors", F.array_compact(F.array("f.username")))
     flat = grouped.select("key", "own", "f.*", "last_t", "n", "detected", "rules", "techniques", actors.alias("actors")).withColumnRenamed("t", "first_t")
     kinds = counts.withColumnsRenamed({"category": "_category", "action": "_action"})
@@ -50,10 +54,10 @@ def items(events: DataFrame) -> DataFrame:
 
 
 def item_events(events: DataFrame, found: DataFrame) -> DataFrame:
-    """(item, pos): the events that each of the items(events) stands for."""
+    """(item, pos): which of the events each of the items() stands for; events may be some of those that the items were made of."""
     rows = events.select("pos", group_key().alias("key"))
-    single, group = found.where("own is not null").select("item", F.col("own").alias("pos")), found.where("own is null").select("key", "item")
-    return single.unionByName(join_hot(rows, group, "key").select("item", "pos"))
+    single = rows.select("pos").join(found.where("own is not null").select("item", F.col("own").alias("pos")), "pos").select("item", "pos")
+    return single.unionByName(join_hot(rows, found.where("own is null").select("key", "item"), "key").select("item", "pos"))
 
 
 def item_entities() -> Column:
@@ -81,11 +85,14 @@ def near_detections(rows: DataFrame) -> DataFrame:
 def scores(found: DataFrame) -> DataFrame:
     """Items with the six components of their evidence score and the total.
 
-    Four linked items give all points, so of each entity's items the first five are enough to count them."""
+    Four linked items give all points, so of each entity's items the first five are enough to count them: where there are five, an
+    item has four others at once; all other entities' lists are whole, hold the item itself, and are put together without pairs."""
     named = found.select("item", F.explode(item_entities()).alias("entity"))
     place = F.row_number().over(Window.partitionBy("entity").orderBy("item"))
     few = named.withColumn("p", place).where("p <= 5").groupBy("entity").agg(F.collect_list("item").alias("some"))
-    others = join_hot(named, few, "entity").select("item", F.explode("some").alias("other")).where("item <> other").distinct().groupBy("item").agg(F.count("*").alias("linked"))
+    short = F.when(F.size("some") < 5, F.col("some"))
+    met = join_hot(named, few, "entity").groupBy("item").agg(F.max(F.size("some")).alias("most"), F.collect_list(short).alias("lists"))
+    others = met.select("item", F.when(F.col("most") == 5, 4).otherwise(F.size(F.array_distinct(F.flatten("lists"))) - 1).alias("linked"))
     rows = near_detections(found).join(others, "item", "left")
     stage = F.array_max(F.transform("techniques", lambda t: F.array_position(F.array(*map(F.lit, TACTICS)), tactic_of(t)) - 1))
     many = F.size("rules") > 0

@@ -94,29 +94,36 @@ def elements(packs: Packs, order: DataFrame) -> DataFrame:
     return met.groupBy("pack", "list", "element", "all").agg(F.max("chars").alias("chars"), F.when(F.col("all"), F.min("step")).otherwise(last).alias("step")).drop("all")
 
 
-def trim(packs: Packs, most_tokens: Column, found: DataFrame | None = None) -> DataFrame:
-    """(pack, chars, tokens, cut, popped, clipped): the size of each pack's text after the trim, how many context items and then
-    relationships go, and whether texts are clipped, as nothing else can go. most_tokens may depend on `pack`.
-
-    Items of equal rank don't occur. tokens are those before texts are clipped. A pack's running total is over its context items
-    and its relationships, of which there are CONTEXT_ITEMS and RELATIONSHIPS at most."""
-    found = materialize(elements(packs, steps(packs.items)), "elements") if found is None else found
+def sums(packs: Packs, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What trim() reads of elements(), whatever the budget: (pack, step, freed) and, from the tail, (pack, popped, freed, n) of relationships that no step takes."""
     # Separators: one an element but the last of a list, so a list that empties gives one back.
     gone = F.when(F.count_if(F.col("step").isNull()) == 0, F.max("step"))
     lists = found.groupBy("pack", "list").agg(gone.alias("step")).select("pack", F.lit(-1).cast("long").alias("chars"), "step")
     sized = found.select("pack", (F.col("chars") + 1).alias("chars"), "step").union(lists).union(packs.rest.select("pack", "chars", F.lit(None).cast("int")))
-    by_step = sized.groupBy("pack", "step").agg(F.sum("chars").alias("freed"))
-    whole = sized.groupBy("pack").agg(F.sum("chars").alias("chars"), F.coalesce(F.max("step"), F.lit(0)).alias("context"))
+    by_step = materialize(sized.groupBy("pack", "step").agg(F.sum("chars").alias("freed")), "freed")
+    tail = found.where("list = 'relationships' and step is null").select("pack", F.col("element").cast("int").alias("place"), (F.col("chars") + 1).alias("chars"))
+    back = Window.partitionBy("pack").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    tail = tail.withColumns({"popped": F.count("*").over(back), "freed": F.sum("chars").over(back), "n": F.count("*").over(Window.partitionBy("pack"))})
+    tail = tail.withColumn("freed", F.col("freed") - F.when(F.col("popped") == F.col("n"), 1).otherwise(0)).select("pack", "popped", "freed", "n")
+    return by_step, materialize(tail, "tail")
+
+
+def trim(packs: Packs, most_tokens: Column, found: DataFrame | None = None, summed: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(pack, chars, tokens, cut, popped, clipped): the size of each pack's text after the trim, how many context items and then
+    relationships go, and whether texts are clipped, as nothing else can go. most_tokens may depend on `pack`; summed is sums(), if several budgets share it.
+
+    Items of equal rank don't occur. tokens are those before texts are clipped. A pack's running total is over its context items
+    and its relationships, of which there are CONTEXT_ITEMS and RELATIONSHIPS at most."""
+    if summed is None:
+        summed = sums(packs, materialize(elements(packs, steps(packs.items)), "elements") if found is None else found)
+    by_step, tail = summed
+    whole = by_step.groupBy("pack").agg(F.sum("freed").alias("chars"), F.coalesce(F.max("step"), F.lit(0)).alias("context"))
     limit = F.floor(most_tokens * CHARS_PER_TOKEN)
     run = by_step.where("step is not null").union(whole.select("pack", F.lit(0), F.lit(0).cast("long"))).join(whole, "pack")
     left = F.col("chars") - F.sum("freed").over(Window.partitionBy("pack").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     cut = run.withColumn("left", left).withColumn("fits", F.col("left") <= limit)
     cut = cut.where(F.col("fits") | (F.col("step") == F.col("context"))).groupBy("pack").agg(F.min_by(F.struct("step", "left", "fits"), "step").alias("c")).select("pack", F.col("c.step").alias("cut"), F.col("c.left").alias("chars"), "c.fits")
     # Then relationships go from the tail.
-    tail = found.where("list = 'relationships' and step is null").select("pack", F.col("element").cast("int").alias("place"), (F.col("chars") + 1).alias("chars"))
-    back = Window.partitionBy("pack").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    tail = tail.withColumns({"popped": F.count("*").over(back), "freed": F.sum("chars").over(back), "n": F.count("*").over(Window.partitionBy("pack"))})
-    tail = tail.withColumn("freed", F.col("freed") - F.when(F.col("popped") == F.col("n"), 1).otherwise(0)).select("pack", "popped", "freed", "n")
     over = cut.where(~F.col("fits")).join(tail, "pack", "left").withColumn("left", F.col("chars") - F.coalesce("freed", F.lit(0))).withColumn("fits", F.col("left") <= limit)
     over = over.where(F.col("fits") | F.col("n").isNull() | (F.col("popped") == F.col("n"))).groupBy("pack", "cut").agg(F.min_by(F.struct("left", "popped", "fits"), "popped").alias("c"), F.max(F.when(F.col("n").isNull(), F.col("left"))).alias("none"))
     over = over.select("pack", "cut", F.coalesce("c.left", "none").alias("chars"), F.coalesce("c.popped", F.lit(0)).alias("popped"), (~F.coalesce("c.fits", F.lit(False))).alias("clipped"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cinderlake.context_queries import _ITEMS, _items
@@ -134,15 +137,17 @@ _FACT = "CASE WHEN user_id BETWEEN 1 AND 14 AND (CASE WHEN user_id % 2 = 0 THEN
   SELECT budget, count(*) AS n_facts, count(*) FILTER (n_events = n_found) AS n_preserved, coalesce(string_agg(fact, ',' ORDER BY fact) FILTER (n_events <> n_found), '') AS missing, round(100.0 * count(*) FILTER (n_events = n_found) / count(*), 1) AS retention_percent, round(100.0 * sum(n_found) / sum(n_events), 1) AS citation_percent FROM per GROUP BY budget""")
 def fact_retention(spark, sf_dir):
     """Facts that daily packs still prove under each budget, and the share of their events that can be cited."""
-    whole, events = _packs(spark, sf_dir), telemetry(spark, sf_dir)
-    found = materialize(P.elements(whole, P.steps(whole.items)), "elements")
-    of = materialize(K.item_events(events, whole.items), "item-events")
-    held = None
-    for budget in BUDGETS:
-        one = P.trimmed(whole, F.lit(budget), found)[0].items.select("item", F.lit(budget).alias("budget"))
-        held = one if held is None else held.union(one)
-    facts = events.select(F.expr(_FACT).alias("fact"), "pos").where("fact is not null")
-    return S.retention(S.coverage(facts, held.join(of, "item"), "budget"), "budget")
+    whole = _packs(spark, sf_dir)
+    order = materialize(P.steps(whole.items), "steps")
+    summed = P.sums(whole, materialize(P.elements(whole, order), "elements"))
+    cuts = [P.trim(whole, F.lit(budget), summed=summed).select(F.lit(budget).alias("budget"), "pack", "cut") for budget in BUDGETS]
+    cuts = materialize(reduce(DataFrame.union, cuts), "cuts")
+    # Only items that stand for an event of a fact matter, whichever budget they stay under.
+    facts = materialize(telemetry(spark, sf_dir).withColumn("fact", F.expr(_FACT)).where("fact is not null"), "facts")
+    of = K.item_events(facts, whole.items).join(order.select("item", "pack", "step"), "item")
+    held = of.join(cuts, "pack").where("step is null or step > cut").select("budget", "pos")
+    # A budget under which no fact keeps an event has its row too.
+    return S.retention(S.coverage(facts.select("fact", "pos"), held.unionByName(cuts.select("budget"), allowMissingColumns=True), "budget"), "budget")
 
 
 _SEGMENTS = """SELECT user_id AS segment, 'S' || user_id % 5 AS stage, min(pos) AS lo, min(pos) + CASE WHEN user_id % 11 = 0 THEN -1 WHEN user_id % 13 = 0 THEN 1000000000000 ELSE user_id % 7 * 50 END AS hi FROM {} GROUP BY user_id"""
